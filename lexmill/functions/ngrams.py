@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill import fixed_values as fv
-from lexmill.functions.text import SPACE_RANGE, WORD
+from lexmill.functions.text import SPACE_CLASS, WORD
 
 
 def word_tokens(text):
     """Lower-case runs of at least two word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"{WORD}{{2,}}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}{WORD}+"), F.lit(0))
 
 
 def spaced_words(text):
     """Lower-case pieces between white space."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[^{SPACE_RANGE}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?U)[^{SPACE_CLASS}]+"), F.lit(0))
 
 
 def _never_null(piece):

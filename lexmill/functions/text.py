@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,9 +24,12 @@ TextFn = Callable[[Column], Column]
 
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
-# inside of a class: Unicode white space, spelled out so that no flag is needed
-SPACE_RANGE = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-BLANK_RANGE = SPACE_RANGE + fv.CONTROL_RANGE
+# White space as the inside of a class, for patterns with the flag (?U). Spelling the
+# ranges out instead is many times slower.
+SPACE_CLASS = r"\s\x1C-\x1F"
+BLANK_CLASS = r"\s" + fv.CONTROL_RANGE
+# The same characters as a trim set.
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 _MISSING = "".join(f"[{ch.upper()}{ch}]" for ch in fv.MISSING_WORD)
 _PUNCT = re.escape(fv.TIGHT_PUNCTUATION)
@@ -62,7 +66,7 @@ def nfkc(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE_RANGE}]+|[{SPACE_RANGE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def _drop_missing(c: Column) -> Column:
@@ -87,12 +91,12 @@ def fix_missing_spaces(c: Column) -> Column:
 
 def _squeeze(c: Column) -> Column:
     """Runs of white space and control characters become one space; trimmed."""
-    return F.trim(F.regexp_replace(c, rf"[{BLANK_RANGE}]+", " "))
+    return F.trim(F.regexp_replace(c, rf"(?U)[{BLANK_CLASS}]+", " "))
 
 
 def _drop_urls(c: Column) -> Column:
     starts = "|".join(fv.URL_STARTS)
-    return F.regexp_replace(c, rf"(?:{starts})[^{BLANK_RANGE}]+", " ")
+    return F.regexp_replace(c, rf"(?U)(?:{starts})[^{BLANK_CLASS}]+", " ")
 
 
 def normalize_text(c: Column, fix_spaces: bool = True, compose: bool = True) -> Column:
@@ -105,12 +109,12 @@ def normalize_text(c: Column, fix_spaces: bool = True, compose: bool = True) ->
     c = F.coalesce(c.cast("string"), F.lit(""))
     if not fix_spaces:
         # here the missing word is recognised on the raw text only
-        c = F.regexp_replace(c, rf"^[{SPACE_RANGE}]*{_MISSING}[{SPACE_RANGE}]*\z", "")
+        c = F.regexp_replace(c, rf"(?U)^[{SPACE_CLASS}]*{_MISSING}[{SPACE_CLASS}]*\z", "")
     if compose:
         c = nfkc(c)
     c = _drop_urls(c)
     if fix_spaces:
-        c = F.regexp_replace(c, rf"^[{BLANK_RANGE}]*{_MISSING}[{BLANK_RANGE}]*\z", "")
+        c = F.regexp_replace(c, rf"(?U)^[{BLANK_CLASS}]*{_MISSING}[{BLANK_CLASS}]*\z", "")
         c = _open_up(c)
     return _squeeze(c)
 
@@ -158,15 +162,26 @@ def normalize_phones(c: Column) -> Column:
 Step = tuple[str, str, str, int | None]
 
 
+def _stays_composed(pattern: str, replacement: str) -> bool:
+    """Whether a replacement surely leaves composed text composed.
+
+    It does when it ends in an ASCII character that takes no combining mark, or when it
+    only cuts a prefix.
+    """
+    if not replacement:
+        return pattern.startswith("^") and "|" not in pattern
+    last = replacement[-1]
+    return replacement.isascii() and not last.isalpha() and last not in "<=>" and "$" not in replacement
+
+
 def apply_steps(c: Column, steps: Sequence[Step], renormalize: TextFn | None = None) -> Column:
     """Run ``(kind, pattern, replacement, max_iter)`` steps over normalised text.
 
     ``kind`` is ``apply`` (once) or ``repeat`` (up to ``max_iter`` passes, 0 or None
     meaning three; a pass over text that no longer changes has no effect, so the
-    passes are simply unrolled). After each pass the text is normalised again.
+    passes are simply unrolled). After each pass the text is normalised again, with the
+    NFKC step (which needs Python) only where the replacement could call for it.
     """
-    if renormalize is None:
-        renormalize = normalize_text
     c = normalize_text(c)
     for kind, pattern, replacement, max_iter in steps:
         if kind == "apply":
@@ -175,8 +190,11 @@ def apply_steps(c: Column, steps: Sequence[Step], renormalize: TextFn | None = N
             passes = max_iter or fv.REPEAT_PASSES
         else:
             raise ValueError(f"Unknown step kind: {kind}")
+        again = renormalize or partial(
+            normalize_text, compose=not _stays_composed(pattern, replacement)
+        )
         for _ in range(passes):
-            c = renormalize(F.regexp_replace(c, pattern, replacement))
+            c = again(F.regexp_replace(c, pattern, replacement))
     return c
 
 
@@ -305,7 +323,7 @@ def model_text(c: Column, clean: TextFn | None = None) -> Column:
     """Text as a model sees it: missing becomes empty, the rest stays unstripped."""
     c = F.regexp_replace(
         F.coalesce(c.cast("string"), F.lit("")),
-        rf"^[{SPACE_RANGE}]*{_MISSING}[{SPACE_RANGE}]*\z",
+        rf"(?U)^[{SPACE_CLASS}]*{_MISSING}[{SPACE_CLASS}]*\z",
         "",
     )
     return clean(c) if clean is not None else c

@@ -16,6 +16,7 @@ from pyspark.sql.types import (
 
 from lexmill import fixed_values as fv
 from lexmill.functions.text import DIGIT, strip
+from lexmill.session import measured
 from lexmill.sources.tables import SPLITS
 
 
@@ -99,7 +100,8 @@ def label_support(
 
 def label_share(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Percentage per label without nulls, largest first: ``label, percent``."""
-    counts = label_support(df.filter(F.col(label_col).isNotNull()), label_col)
+    # cached, so that the total does not count the table a second time
+    counts = measured(label_support(df.filter(F.col(label_col).isNotNull()), label_col))
     total = counts.agg(F.sum("n")).scalar()
     return counts.select(
         "label", (F.col("n") * 100.0 / total).alias("percent")

@@ -34,10 +34,12 @@ def split_quotas(
     split leaves.
     """
     labelled = df.filter(F.col(label_col).isNotNull())
-    counts = labelled.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = measured(
+        labelled.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    )
     with_test = _quota(counts, "n", test_share, "n_test")
     left = with_test.withColumn("_left", F.col("n") - F.col("n_test"))
-    return _quota(left, "_left", val_share, "n_val").drop("_left")
+    return _quota(measured(left), "_left", val_share, "n_val").drop("_left")
 
 
 def stratified_split(

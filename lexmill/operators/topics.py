@@ -11,7 +11,7 @@ from lexmill import fixed_values as fv
 from lexmill.functions.ngrams import word_ngrams
 from lexmill.functions.text import let
 from lexmill.operators.select import first_per_group, in_set, sample_per_group
-from lexmill.session import measured
+from lexmill.session import measured, written
 
 
 def unit_vector(c: Column) -> Column:
@@ -127,6 +127,8 @@ def topic_terms(
     counts = words.groupBy(F.col(topic_col).alias("topic"), "term").agg(
         F.count(F.lit(1)).alias("n")
     )
+    # needed for the totals and again for the weights; much smaller than the texts
+    counts = written(counts, "topic_counts")
     sizes = measured(counts.groupBy("topic").agg(F.sum("n").alias("words")))
     mean = sizes.agg(F.avg("words")).scalar()
     overall = F.sum("n").over(Window.partitionBy("term"))

@@ -74,7 +74,7 @@ def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     marks = table(spark, sf, "labels").select("doc_id", "quality")
     label = F.concat_ws("_", "lang", "quality")
     return (
-        documents(spark, sf)
+        spread_documents(spark, sf)
         .join(marks, "doc_id")
         .select("doc_id", "text", "source", label.alias("label"), split_of().alias("split"))
     )
@@ -673,7 +673,7 @@ def _fitted(spark: SparkSession, sf: str) -> TopicClassifierModel:
 @query
 def hier_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on the labelled documents, predict every document."""
-    return _fitted(spark, sf).predict(documents(spark, sf))
+    return _fitted(spark, sf).predict(spread_documents(spark, sf))
 
 
 @query
@@ -681,7 +681,7 @@ def bundle_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of a model before and after saving and loading it."""
     model = _fitted(spark, sf)
     again = load_bundle(spark, save_bundle(model, new_folder(spark, "bundle")))
-    docs = documents(spark, sf)
+    docs = spread_documents(spark, sf)
     before = model.predict(docs).select("doc_id", F.col("pred").alias("before"))
     both = before.join(again.predict(docs), "doc_id", "full")
     differs = ~F.col("before").eqNullSafe(F.col("pred"))
