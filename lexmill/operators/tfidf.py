@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from lexmill import fixed_values as fv
-from lexmill.functions.ngrams import char_ngrams, word_ngrams
-from lexmill.session import new_folder, task_count, written
-
-WORD_BLOCK = "word"
-CHAR_BLOCK = "char"
-BLOCKS = (WORD_BLOCK, CHAR_BLOCK)
+from lexmill.functions.ngrams import (
+    BLOCKS,
+    CHAR_BLOCK,
+    NO_BLOCK,
+    WORD_BLOCK,
+    block_ngrams,
+)
+from lexmill.session import broadcast_if_small, new_folder, task_count, written
 
 
 @dataclass(frozen=True)
@@ -53,36 +55,29 @@ def by_document(df: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
     return df.select(*keys, *columns).repartition(task_count(df.sparkSession), F.col(keys[0]))
 
 
-def block_counts(
-    docs: DataFrame, block: str, ngram_max: int, keys: Sequence[str], text_col: str = "text"
-) -> DataFrame:
-    """Term counts of one block: ``keys, n, term, tf``.
-
-    ``keys`` is the document id followed by any columns to carry along (a label, a
-    split). No shuffle when ``docs`` comes from :func:`by_document`.
-    """
-    keys = list(keys)
-    if block == WORD_BLOCK:
-        grams = word_ngrams(docs, text_col, keys, ngram_max)
-    else:
-        grams = char_ngrams(docs, text_col, keys)
-    return grams.groupBy(*keys, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def term_counts(
     df: DataFrame,
     ngram_max: int = fv.NGRAM_MAX,
     keys: Sequence[str] = ("doc_id",),
     text_col: str = "text",
-) -> dict[str, DataFrame]:
-    """Counts of both blocks, each kept partitioned by document."""
+    mark: bool = False,
+) -> DataFrame:
+    """Term counts per document: ``keys, block, n, term, tf``.
+
+    ``keys`` is the document id followed by any columns to carry along (a label, a
+    split). The texts are shuffled once, by document; counting needs no other shuffle.
+    ``mark`` adds a row of no block for every document.
+    """
+    keys = list(keys)
     docs = by_document(df, keys, text_col)
-    return {b: block_counts(docs, b, ngram_max, keys, text_col) for b in BLOCKS}
+    grams = block_ngrams(docs, text_col, keys, ngram_max, mark)
+    return grams.groupBy(*keys, "block", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(counts: DataFrame) -> DataFrame:
-    """Document and corpus count per term: ``n, term, df, tf``."""
-    return counts.groupBy("n", "term").agg(
+    """Document and corpus count per term: ``block, n, term, df, tf``."""
+    terms = counts.filter(F.col("block") != NO_BLOCK)
+    return terms.groupBy("block", "n", "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")
     )
 
@@ -104,7 +99,7 @@ def smooth_idf(df_col: Column, n_docs: int) -> Column:
     return F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + df_col)) + F.lit(1.0)
 
 
-def vocabulary(stats: dict[str, DataFrame], n_docs: int, cfg: TfidfConfig) -> DataFrame:
+def vocabulary(stats: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
     """The frozen vocabulary: ``block, term, df, tf, idf, idx``.
 
     ``idx`` numbers the terms, word block first, by term; only the capped vocabulary is
@@ -114,63 +109,39 @@ def vocabulary(stats: dict[str, DataFrame], n_docs: int, cfg: TfidfConfig) -> Da
     parts = []
     for code, block in enumerate(BLOCKS):
         min_df, max_df, max_features = cfg.limits(block)
-        terms = stats[block]
+        terms = stats.filter(F.col("block") == block)
         if block == WORD_BLOCK:
             terms = terms.filter(F.col("n") <= cfg.ngram_max)
         terms = cap_terms(prune_terms(terms, n_docs, min_df, max_df), max_features)
-        parts.append(
-            terms.select(
-                F.lit(code).alias("_code"),
-                F.lit(block).alias("block"),
-                "term",
-                "df",
-                "tf",
-                smooth_idf(F.col("df"), n_docs).alias("idf"),
-            )
-        )
+        idf = smooth_idf(F.col("df"), n_docs).alias("idf")
+        parts.append(terms.select(F.lit(code).alias("_code"), "block", "term", "df", "tf", idf))
     order = Window.orderBy("_code", "term")
     numbered = parts[0].unionByName(parts[1]).withColumn("idx", F.row_number().over(order) - 1)
     return written(numbered.drop("_code"), "vocabulary")
 
 
 def raw_weights(
-    counts: DataFrame, vocab: DataFrame, block: str, cfg: TfidfConfig, keys: Sequence[str]
+    counts: DataFrame, vocab: DataFrame, cfg: TfidfConfig, keys: Sequence[str]
 ) -> DataFrame:
-    """Unnormalised weights of known terms: ``keys, term, idx, weight``."""
+    """Unnormalised weights of known terms: ``keys, block, term, idx, weight``."""
     tf = F.col("tf").cast("double")
-    scaled = F.lit(1.0) + F.log(tf) if cfg.sublinear(block) else tf
-    terms = vocab.filter(F.col("block") == block).select("term", "idf", "idx")
-    return counts.join(terms, "term").select(
-        *keys, "term", "idx", (scaled * F.col("idf")).alias("weight")
+    word = F.lit(1.0) + F.log(tf) if cfg.sublinear(WORD_BLOCK) else tf
+    char = F.lit(1.0) + F.log(tf) if cfg.sublinear(CHAR_BLOCK) else tf
+    scaled = F.when(F.col("block") == WORD_BLOCK, word).otherwise(char)
+    terms = broadcast_if_small(vocab.select("block", "term", "idf", "idx"))
+    return counts.join(terms, ["block", "term"]).select(
+        *keys, "block", "term", "idx", (scaled * F.col("idf")).alias("weight")
     )
 
 
-def unit_rows(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scale each document's weights of one block to unit length."""
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys)))
-    return weights.withColumn("weight", F.col("weight") / length)
-
-
-def tfidf_block(
-    counts: DataFrame,
-    vocab: DataFrame,
-    block: str,
-    cfg: TfidfConfig,
-    keys: Sequence[str] = ("doc_id",),
-) -> DataFrame:
-    rows = unit_rows(raw_weights(counts, vocab, block, cfg, keys), keys)
-    return rows.select(*keys, F.lit(block).alias("block"), "term", "idx", "weight")
-
-
 def tfidf_union(
-    counts: dict[str, DataFrame],
-    vocab: DataFrame,
-    cfg: TfidfConfig,
-    keys: Sequence[str] = ("doc_id",),
+    counts: DataFrame, vocab: DataFrame, cfg: TfidfConfig, keys: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
-    """Both blocks one after the other: ``keys, block, term, idx, weight``."""
-    word, char = (tfidf_block(counts[b], vocab, b, cfg, keys) for b in BLOCKS)
-    return word.unionByName(char)
+    """Both blocks, each of unit length per document: ``keys, block, term, idx, weight``."""
+    rows = raw_weights(counts, vocab, cfg, keys)
+    block = Window.partitionBy(*keys, "block")
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(block))
+    return rows.withColumn("weight", F.col("weight") / length)
 
 
 def fit_vocabulary(
@@ -178,7 +149,7 @@ def fit_vocabulary(
 ) -> DataFrame:
     """Count, prune, cap and number the terms of a document table."""
     counts = term_counts(df, cfg.ngram_max, [id_col], text_col)
-    return vocabulary({b: term_stats(counts[b]) for b in BLOCKS}, df.count(), cfg)
+    return vocabulary(term_stats(counts), df.count(), cfg)
 
 
 def tfidf_transform(
@@ -193,36 +164,46 @@ def tfidf_transform(
 
 
 def pack(
-    docs: DataFrame,
-    counts: dict[str, DataFrame],
-    vocab: DataFrame,
-    cfg: TfidfConfig,
-    keys: Sequence[str] = ("doc_id",),
+    counts: DataFrame, vocab: DataFrame, cfg: TfidfConfig, keys: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """One row per document: ``keys, indices, values``, both blocks, unit length each.
 
-    ``counts`` are keyed by the document id alone. Every document of ``docs`` is kept,
-    also one without a known term. The blocks meet in joins by document id, whose sides
-    are partitioned alike already.
+    ``counts`` must be marked: the mark meets an entry of index -1 and weight 0, so that
+    documents without a known term stay. No shuffle beyond the one of the counts.
     """
-    id_col = keys[0]
-    out = docs.select(*keys)
-    none = F.array().cast("array<struct<idx:int,weight:double>>")
-    for block in BLOCKS:
-        rows = raw_weights(counts[block], vocab, block, cfg, [id_col])
-        packed = rows.groupBy(id_col).agg(
-            F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias(f"_{block}"),
-            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(f"_{block}_length"),
+    entry = counts.sparkSession.range(1).select(
+        F.lit(NO_BLOCK).alias("block"),
+        F.lit("").alias("term"),
+        F.lit(0.0).alias("idf"),
+        F.lit(-1).alias("idx"),
+    )
+    known = vocab.select("block", "term", "idf", "idx").unionByName(entry)
+    weight, is_word = F.col("weight"), F.col("block") == WORD_BLOCK
+
+    def length(mask):
+        return F.sqrt(F.sum(F.when(mask, weight * weight)))
+
+    packed = (
+        raw_weights(counts, known, cfg, keys)
+        .groupBy(*keys)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("idx", "weight", is_word.alias("word")))).alias(
+                "_entries"
+            ),
+            length(is_word).alias("_word_length"),
+            length(F.col("block") == CHAR_BLOCK).alias("_char_length"),
         )
-        out = out.join(packed, id_col, "left")
-    # the word block holds the lower indices, so the concatenation is in order
-    lists = [F.coalesce(F.col(f"_{b}"), none) for b in BLOCKS]
-    scaled = [
-        F.transform(entries, _scaled_by(F.col(f"_{b}_length")))
-        for b, entries in zip(BLOCKS, lists, strict=True)
-    ]
-    indices = F.transform(F.concat(*lists), lambda e: e["idx"])
-    return out.select(*keys, indices.alias("indices"), F.concat(*scaled).alias("values"))
+        # the mark is the first entry
+        .withColumn("_entries", F.slice("_entries", F.lit(2), F.size("_entries")))
+    )
+    scaled = F.transform(
+        "_entries",
+        lambda e: e["weight"]
+        / F.when(e["word"], F.col("_word_length")).otherwise(F.col("_char_length")),
+    )
+    return packed.select(
+        *keys, F.col("_entries.idx").alias("indices"), scaled.alias("values")
+    )
 
 
 def packed_documents(
@@ -233,13 +214,8 @@ def packed_documents(
     text_col: str = "text",
 ) -> DataFrame:
     """Pack documents straight from their text, with a frozen vocabulary."""
-    docs = by_document(df, keys, text_col)
-    counts = {b: block_counts(docs, b, cfg.ngram_max, keys[:1], text_col) for b in BLOCKS}
-    return pack(docs, counts, vocab, cfg, keys)
-
-
-def _scaled_by(length: Column):
-    return lambda e: e["weight"] / length
+    counts = term_counts(df, cfg.ngram_max, keys, text_col, mark=True)
+    return pack(counts, vocab, cfg, keys)
 
 
 def stored_vectors(packed: DataFrame, size: int) -> DataFrame:

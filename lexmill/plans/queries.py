@@ -494,12 +494,13 @@ def char_ngrams_(spark: SparkSession, sf: str) -> DataFrame:
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of all terms that pass the document frequency limits."""
     docs = documents(spark, sf)
-    counts, rows = tfidf.term_counts(docs), docs.count()
+    stats, rows = written(tfidf.term_stats(tfidf.term_counts(docs)), "stats"), docs.count()
     parts = []
     for block in tfidf.BLOCKS:
         min_df, max_df, _ = CONFIG.limits(block)
-        kept = tfidf.prune_terms(tfidf.term_stats(counts[block]), rows, min_df, max_df)
-        parts.append(kept.select(F.lit(block).alias("block"), "term", "df", "tf"))
+        of_block = stats.filter(F.col("block") == block)
+        kept = tfidf.prune_terms(of_block, rows, min_df, max_df)
+        parts.append(kept.select("block", "term", "df", "tf"))
     return parts[0].unionByName(parts[1])
 
 
@@ -525,9 +526,7 @@ def tfidf_(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of the word block."""
     docs = documents(spark, sf)
     vocab = tfidf.fit_vocabulary(docs, CONFIG)
-    spread_docs = tfidf.by_document(docs, ["doc_id"], "text")
-    counts = tfidf.block_counts(spread_docs, tfidf.WORD_BLOCK, CONFIG.ngram_max, ["doc_id"])
-    rows = tfidf.tfidf_block(counts, vocab, tfidf.WORD_BLOCK, CONFIG)
+    rows = tfidf.tfidf_transform(docs, vocab, CONFIG).filter(F.col("block") == tfidf.WORD_BLOCK)
     return rows.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

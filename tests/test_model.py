@@ -82,7 +82,7 @@ def test_packed_equals_rows_and_keeps_empty_documents(docs):
 
 def test_counting_shuffles_each_text_once(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counts = tfidf.term_counts(docs)["char"]
+    counts = tfidf.term_counts(docs)
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
