@@ -33,6 +33,7 @@ from lexmill.operators.topics import (
     topic_terms,
     unit_embeddings,
 )
+from lexmill.session import written
 
 
 def prepare_articles(
@@ -57,7 +58,9 @@ def long_text_flow(
         prepare_articles(articles), ["text"], clean_news, order_by=[id_col]
     )
     labelled = text_label(texts, "text", label_col, F.col(id_col).alias("doc_id"))
-    split = stratified_split(require_labels(labelled), seed=seed)
+    # written, as the split reads its input several times and the fit reads the split
+    labelled = written(require_labels(labelled), "labelled")
+    split = written(stratified_split(labelled, seed=seed), "split")
     model = TopicClassifier(cleaners, params=params, settings=settings).fit(split)
     test = split.filter(F.col("split") == "test")
     return model, model.evaluate(test)
@@ -71,7 +74,7 @@ def short_text_flow(
     settings: Settings = Settings(),
 ) -> dict:
     """A pre-split table: label counts, leakage removal, fit and evaluation."""
-    kept = dedup_split_table(splits, [id_col], key_fn=normalize_text)
+    kept = written(dedup_split_table(splits, [id_col], key_fn=normalize_text), "kept")
     model = TopicClassifier(cleaners, params=params, settings=settings).fit(
         text_label(kept, "text", "label", F.col(id_col).alias("doc_id"), "split")
     )
@@ -98,7 +101,8 @@ def topic_flow(
     cleaned = articles.withColumn("Content_clean", clean_news(F.col("Content")))
     combined = combine_text(cleaned, ["Judul", "Content_clean", *columns_with_prefix(articles)])
     texts = unit_embeddings(non_empty(combined, "text_for_cluster"), embedding_col)
-    clustered = cluster_documents(texts, k, embedding_col)
+    texts = written(texts, "texts")
+    clustered = written(cluster_documents(texts, k, embedding_col), "clustered")
     info = topic_info(clustered)
     selected = select_topics(info)
     return {
