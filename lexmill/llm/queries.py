@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.jaccard_join import jaccard_classes
 from lexmill.llm.mixing import mix_sources
 from lexmill.llm.url_filter import judge_urls
 from lexmill.llm.warc_archive import read_archive, write_archive
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf, "documents"), size=3, similarity=(9, 10))
+
+
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "action string, host string, path string")
     judged = judge_urls(_table(spark, sf, "pages"), rules)
@@ -43,6 +48,7 @@ def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_url_filter": op4_url_filter,
     "op5_weighted_mix": op5_weighted_mix,
     "op10_warc_archive": op10_warc_archive,
@@ -51,6 +57,28 @@ QUERIES = {
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 
 ORACLES = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS s
+  FROM words, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 1, 2) END)) u(i)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x.a, x.b
+  FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c
+        FROM sh p JOIN sh q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY ALL) x
+  JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b
+  WHERE 100 * x.c >= 90 * (na.n + nb.n - x.c)),
+reach(doc_id, other) AS (
+  SELECT a, b FROM links
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+""",
     "op4_url_filter": rf"""
 WITH rules(action, rhost, rpath) AS (VALUES {_RULE_ROWS}),
 parts AS (
@@ -121,7 +149,7 @@ WITH p AS (
 g AS (
   SELECT *, max(page_id) OVER (PARTITION BY hex) AS top FROM p)
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(0, 32), i ->
+  array_to_string(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
       (CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT)
         >> (15 - 5 * (i % 4))) & 31) AS INT), 1)), '') AS payload_digest,
