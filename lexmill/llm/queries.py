@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm.decontamination import find_leaks
 from lexmill.llm.jaccard_join import jaccard_classes
 from lexmill.llm.mixing import mix_sources
+from lexmill.llm.quality_cnn import score_quality, train_quality
 from lexmill.llm.url_filter import judge_urls
 from lexmill.llm.warc_archive import read_archive, write_archive
 from lexmill.session import new_folder
@@ -39,6 +41,31 @@ def op5_weighted_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def held_out(doc_id) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+def quality_labels(labels: DataFrame) -> DataFrame:
+    """Labels that may be learned from."""
+    known = labels.select("doc_id", F.col("quality").alias("label"))
+    return known.filter(~held_out(F.col("doc_id")))
+
+
+def op9_quality_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    net = train_quality(docs, quality_labels(_table(spark, sf, "labels")))
+    return score_quality(docs.select("doc_id", "text"), net).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     write_archive(_table(spark, sf, "pages"), folder)
@@ -51,6 +78,8 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_url_filter": op4_url_filter,
     "op5_weighted_mix": op5_weighted_mix,
+    "op7_template_decontamination": op7_template_decontamination,
+    "op9_quality_cnn": op9_quality_cnn,
     "op10_warc_archive": op10_warc_archive,
 }
 
