@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.decontamination import find_leaks
+from lexmill.llm.embedding_neardup import embedding_classes
 from lexmill.llm.jaccard_join import jaccard_classes
 from lexmill.llm.mixing import mix_sources
 from lexmill.llm.quality_cnn import score_quality, train_quality
@@ -41,6 +42,10 @@ def op5_weighted_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_embedding_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_classes(_table(spark, sf, "embeddings"))
+
+
 def op7_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_url_filter": op4_url_filter,
     "op5_weighted_mix": op5_weighted_mix,
+    "op6_embedding_neardup": op6_embedding_neardup,
     "op7_template_decontamination": op7_template_decontamination,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_warc_archive": op10_warc_archive,
