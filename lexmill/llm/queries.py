@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from lexmill.llm.decontamination import find_leaks
 from lexmill.llm.embedding_neardup import embedding_classes
 from lexmill.llm.jaccard_join import jaccard_classes
+from lexmill.llm.language_id import fuse_languages, markup_language, page_text, train_languages
+from lexmill.llm.license_scan import scan_licenses
 from lexmill.llm.mixing import mix_sources
 from lexmill.llm.quality_cnn import score_quality, train_quality
-from lexmill.llm.url_filter import judge_urls
+from lexmill.llm.toxicity import score_toxicity, train_toxicity
+from lexmill.llm.url_filter import judge_urls, url_host
 from lexmill.llm.warc_archive import read_archive, write_archive
 from lexmill.session import new_folder
 
@@ -27,6 +30,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    known = _table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = train_toxicity(docs, known, binary=True)
+    return score_toxicity(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf, "documents"), size=3, similarity=(9, 10))
 
@@ -50,6 +64,20 @@ def op7_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages, with byte-pair models of the documents' languages."""
+    model = train_languages(_table(spark, sf, "documents").select("text", "lang"))
+    host = url_host(F.col("url"))
+    return fuse_languages(
+        _table(spark, sf, "pages").select("page_id", "url", "html"),
+        model,
+        text=page_text(F.col("html")),
+        declared=markup_language(F.col("html")),
+        host=host,
+        suffix=F.substring_index(host, ".", -1),
+    ).select("page_id", "language", "posterior", "rejected")
+
+
 def held_out(doc_id) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
@@ -80,11 +108,14 @@ def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_url_filter": op4_url_filter,
     "op5_weighted_mix": op5_weighted_mix,
     "op6_embedding_neardup": op6_embedding_neardup,
     "op7_template_decontamination": op7_template_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_warc_archive": op10_warc_archive,
 }
