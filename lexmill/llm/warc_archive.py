@@ -25,6 +25,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -206,27 +207,42 @@ def write_archive(
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         shard_bytes = min(max(whole // (2 * tasks), 64 << 10), 256 << 20)
     order = [F.col("key").asc_nulls_first(), F.col("sha1")]
-    # rows repeated in key and payload stay in one shard, else their numbers would clash
-    placed = (
+    starts = (
         running_totals(sizes, order, {"upto": "bytes"})
-        .groupBy("key", "sha1")
-        .agg(F.min(F.floor(F.col("upto") / shard_bytes)).cast("long").alias("shard"))
+        .groupBy(F.floor((F.col("upto") - F.col("bytes")) / shard_bytes).alias("shard"))
+        .agg(F.min(F.struct("key", "sha1")).alias("least"))
+        .select("least.*")
+        .collect()
     )
-    again = revisits(records, least_bytes)
-    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & (a["sha1"] == b["sha1"])
-    placed = placed.join(again, same(placed, again), "left").select(
-        placed["key"], placed["sha1"], "shard", "refers_to"
-    )
-    hashed = records.withColumn("sha1", F.sha1(F.col("payload")))
+    # a row per shard; equal rows stay in one shard
+    first = sorted((r["key"] is not None, r["key"] or 0, r["sha1"]) for r in starts)
+    first = spark.sparkContext.broadcast(first)
+
+    @F.arrow_udf("long")
+    def shard_of(keys: pa.Array, digests: pa.Array) -> pa.Array:
+        rows = zip(keys.to_pylist(), digests.to_pylist(), strict=True)
+        return pa.array(
+            [bisect_right(first.value, (k is not None, k or 0, d)) - 1 for k, d in rows], pa.int64()
+        )
+
+    # a mark before the records that revisit another spares a join of the payloads
+    marks = revisits(records, least_bytes).select(
+        "key", "sha1", "refers_to", F.lit(None).cast("string").alias("uri"),
+        F.lit(None).cast("string").alias("payload"),
+    )
     ready = (
-        hashed.join(placed, same(hashed, placed))
-        .select("shard", hashed["key"], hashed["sha1"], "uri", "payload", "refers_to")
+        records.withColumn("sha1", F.sha1(F.col("payload")))
+        .withColumn("refers_to", F.lit(None).cast("long"))
+        .unionByName(marks)
+        .withColumn("shard", shard_of("key", "sha1"))
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
-        .sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "sha1", "uri")
+        .sortWithinPartitions(
+            "shard", F.col("key").asc_nulls_first(), "sha1", F.col("payload").isNotNull(), "uri"
+        )
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, last, number = None, object(), 0
+        roller, last, number, marked, target = None, object(), 0, None, None
         schema = pa.schema(
             [("name", pa.string()), ("temporary", pa.string()), ("shard", pa.int64()),
              ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()),
@@ -235,11 +251,15 @@ def write_archive(
         for batch in batches:
             roller = roller or _Roller(folder, roll_bytes, date)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in
-                       ("shard", "key", "uri", "payload", "refers_to")]
+                       ("shard", "key", "uri", "payload", "refers_to", "sha1")]
             for i in range(batch.num_rows):
-                shard, k, address, text, other = (c[i].as_py() for c in columns)
+                shard, k, address, text, other, digest = (c[i].as_py() for c in columns)
+                if text is None:
+                    marked, target = (k, digest), other
+                    continue
                 number = number + 1 if k == last else 0
                 last = k
+                other = target if marked == (k, digest) else None
                 roller.put(shard, _record(k, number, address, text.encode(), other, date))
         if roller is not None:
             roller.close()
@@ -250,7 +270,6 @@ def write_archive(
                     schema=schema,
                 )
 
-    _, base = _store(folder)
     files = written(ready.mapInArrow(write, _FILES), "files")
     _commit(spark, files, folder)
     return files.drop("temporary")
