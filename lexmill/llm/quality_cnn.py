@@ -58,12 +58,13 @@ def new_network(seed: int = 7) -> Network:
 
 
 def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts laid out in halves, with at least ``STEP`` zero bytes after each; halves per text."""
-    halves = np.array([(len(t) + STEP) // HALF + 1 if len(t) else 1 for t in texts])
+    """Texts laid out in halves, each after ``STEP`` zero bytes, so that no filter sees two
+    texts; and the number of halves per text."""
+    halves = np.array([(len(t) + STEP - 1) // HALF + 1 for t in texts])
     data = np.zeros(halves.sum() * HALF + STEP, np.uint8)
     at = 0
     for text, n in zip(texts, halves, strict=True):
-        data[at : at + len(text)] = text
+        data[at + STEP : at + STEP + len(text)] = text
         at += n * HALF
     return data, halves
 
