@@ -9,8 +9,10 @@ The model is fitted in one task on a bounded sample of the labelled rows (``SAMP
 whole texts, chosen by a hash of the id) and on words of at least ``LEAST_ROWS`` of its rows;
 scoring reads every whole text.
 
+Weights are not negative: words only add to severity.
+
 Defined cases: a null text is an empty one; a text without known words has the severity that
-the thresholds alone give; repeated rows score alike; rows without grade, or with grades that
+the thresholds alone give, the least of all; repeated rows score alike; rows without grade, or with grades that
 differ for one id, don't train; with fewer than two grades in the sample every severity is
 the only grade, or 0; an empty table gives an empty result; all columns of the input are kept
 but those named like a new one.
@@ -88,9 +90,14 @@ def _loss_parts(margin: np.ndarray, grade: np.ndarray, thresholds: np.ndarray):
 
 
 def fit_ordinal(
-    rows: _Rows, grades: np.ndarray, features: int, penalty: float = PENALTY, steps: int = STEPS
+    rows: _Rows,
+    grades: np.ndarray,
+    features: int,
+    penalty: float = PENALTY,
+    steps: int = STEPS,
+    least: float = -np.inf,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by accelerated proximal gradient steps."""
+    """Weights, ``least`` or more, and thresholds by accelerated proximal gradient steps."""
     top = int(grades.max())
     shares = np.array([(grades > k).mean() for k in range(top)])
     t = np.log((1 - shares) / np.maximum(shares, 1e-6))
@@ -103,7 +110,7 @@ def fit_ordinal(
     for _ in range(steps):
         by_margin, by_threshold = _loss_parts(rows.dot(ahead_w), grades, ahead_t)
         step = ahead_w - rate * rows.back(by_margin, features)
-        new_w = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0)
+        new_w = np.maximum(np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0), least)
         new_t = np.maximum.accumulate(ahead_t - rate * by_threshold + 1e-6 * np.arange(top))
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead_w = new_w + (pace - 1) / faster * (new_w - w)
@@ -186,7 +193,8 @@ def train_toxicity(
             np.log1p(np.concatenate([c[k] for c, k in zip(counts, known, strict=True)])),
         )
         if len(np.unique(grades)) > 1:
-            weights, thresholds = fit_ordinal(sparse, grades, len(every))
+            # words only add to severity: a text without any is the least severe
+            weights, thresholds = fit_ordinal(sparse, grades, len(every), least=0.0)
         else:  # the only grade for sure
             weights, thresholds = np.zeros(len(every)), np.full(int(grades[0]), -40.0)
         used = weights != 0
