@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Texts become canonical tokens: numbers, units of measure and names turn into typed
-placeholders, other words are lower-cased, punctuation is dropped. Windows of ``WINDOW``
+placeholders, other words are lower-cased, punctuation is dropped. A name is a capitalised
+word that opens no sentence. Windows of ``WINDOW``
 tokens of the documents are hash-joined to those of the benchmark, so a question with other
 numbers or names still meets its source. Matched windows of one alignment of a document and
 an item are put together; the slots' values must then correspond one to one (equal values of
@@ -99,6 +100,8 @@ def tokens_of(column) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
         unit[0] = False
         second = data[np.minimum(begin + 1, len(data) - 1)]
         capital = UPPER[data[begin]] | ((data[begin] == _C3) & (second >= 0x80) & (second <= 0x9E))
+        # words in capitals throughout, and single letters, are no names
+        capital &= (words.end - begin > 1) & ~UPPER[second]
         stops = np.concatenate([[0], np.cumsum(_STOPS[data])])
         opens = np.ones(len(tokens), bool)
         opens[1:] = stops[begin[1:]] > stops[words.end[:-1]]
@@ -220,5 +223,5 @@ def find_leaks(
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents that hold no benchmark item; those without id stay if no leak has none."""
-    held = leaks.select(F.col("doc_id").alias("_held")).distinct()
+    held = written(leaks.select(F.col("doc_id").alias("_held")).distinct(), "held")
     return docs.join(held, docs[doc_id].eqNullSafe(F.col("_held")), "left_anti")
