@@ -189,15 +189,24 @@ def apply_steps(c: Column, steps: Sequence[Step], renormalize: TextFn | None = N
         elif kind == "repeat":
             passes = max_iter or fv.REPEAT_PASSES
         else:
-            raise ValueError(f"Unknown step kind: {kind}")
+            raise ValueError(f"a step applies or repeats, not {kind!r}")
         again = renormalize or partial(
             normalize_text, compose=not _stays_composed(pattern, replacement)
         )
         for _ in range(passes):
-            c = again(F.regexp_replace(c, pattern, replacement))
+            c = again(_unless_empty(c, partial(_replaced, pattern, replacement)))
     return c
 
 
+def _replaced(pattern: str, replacement: str, c: Column) -> Column:
+    return F.regexp_replace(c, pattern, replacement)
+
+
+def _unless_empty(c: Column, step: TextFn) -> Column:
+    """A step without Python that leaves empty text alone."""
+    return let(c, lambda t: F.when(t == "", t).otherwise(step(t)))
+
+
 # --- news ------------------------------------------------------------------------
 
 
@@ -306,6 +315,9 @@ CLEANERS: dict[str, TextFn] = {
 }
 
 
+_KEEP_EMPTY = frozenset(CLEANERS.values())
+
+
 def chain(*cleaners: TextFn | str) -> TextFn:
     """Run cleaners in order; null counts as empty, and empty text stays empty."""
     steps = [CLEANERS[s] if isinstance(s, str) else s for s in cleaners]
@@ -313,7 +325,8 @@ def chain(*cleaners: TextFn | str) -> TextFn:
     def run(c: Column) -> Column:
         c = F.coalesce(c.cast("string"), F.lit(""))
         for step in steps:
-            c = step(c)
+            # cleaners of this module leave empty text empty
+            c = step(c) if step in _KEEP_EMPTY else F.when(c == "", c).otherwise(step(c))
         return c
 
     return run

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -16,7 +16,7 @@ from pyspark.sql.types import (
 
 from lexmill import fixed_values as fv
 from lexmill.functions.text import DIGIT, strip
-from lexmill.session import measured
+from lexmill.session import measured, numbered
 from lexmill.sources.tables import SPLITS
 
 
@@ -34,7 +34,7 @@ def require_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Labels as stripped strings; fails with the count when any is invalid."""
     bad = invalid_labels(df, label_col).first()["invalid"]
     if bad:
-        raise ValueError(f"Found {bad} missing/invalid labels in {label_col}.")
+        raise ValueError(f"{bad} rows without a usable label in {label_col}")
     return df.withColumn(label_col, clean_label(F.col(label_col)))
 
 
@@ -86,8 +86,8 @@ def coerce_labels(df: DataFrame, label_col: str = "label", as_str: bool = False)
 def encode_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Sorted distinct labels with codes from 0: ``label, code``."""
     distinct = df.select(F.col(label_col).alias("label")).filter("label is not null").distinct()
-    code = F.row_number().over(Window.orderBy("label")) - 1
-    return distinct.withColumn("code", code)
+    codes = numbered(distinct, [F.col("label")], "code")
+    return codes.withColumn("code", F.col("code") - 1)
 
 
 def label_support(

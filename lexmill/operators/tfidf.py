@@ -24,7 +24,7 @@ from lexmill.functions.ngrams import (
     WORD_BLOCK,
     block_ngrams,
 )
-from lexmill.session import broadcast_if_small, new_folder, task_count, written
+from lexmill.session import broadcast_if_small, new_folder, numbered, task_count, written
 
 
 @dataclass(frozen=True)
@@ -91,8 +91,24 @@ def prune_terms(stats: DataFrame, n_docs: int, min_df: int, max_df: float) -> Da
 
 
 def cap_terms(stats: DataFrame, max_features: int) -> DataFrame:
-    """The most frequent terms of the corpus; equal counts go by term."""
-    return stats.orderBy(F.desc("tf"), "term").limit(max_features)
+    """The most frequent terms of the corpus; equal counts go by term.
+
+    Terms are counted per frequency, and the frequency at which the cap is reached is looked
+    up; only the terms of just that frequency are put in order.
+    """
+    # as many rows as different frequencies, about the root of the corpus at most
+    sizes = stats.groupBy("tf").agg(F.count(F.lit(1)).alias("n"))
+    above = F.sum("n").over(Window.orderBy(F.desc("tf"))) - F.col("n")
+    cut = (
+        sizes.withColumn("above", above)
+        .filter((F.col("above") < max_features) & (F.col("above") + F.col("n") > max_features))
+        .first()
+    )
+    if cut is None:
+        return stats
+    ties = numbered(stats.filter(F.col("tf") == cut["tf"]), [F.col("term")])
+    kept = ties.filter(F.col("number") <= max_features - cut["above"]).drop("number")
+    return stats.filter(F.col("tf") > cut["tf"]).unionByName(kept)
 
 
 def smooth_idf(df_col: Column, n_docs: int) -> Column:
@@ -115,9 +131,8 @@ def vocabulary(stats: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
         terms = cap_terms(prune_terms(terms, n_docs, min_df, max_df), max_features)
         idf = smooth_idf(F.col("df"), n_docs).alias("idf")
         parts.append(terms.select(F.lit(code).alias("_code"), "block", "term", "df", "tf", idf))
-    order = Window.orderBy("_code", "term")
-    numbered = parts[0].unionByName(parts[1]).withColumn("idx", F.row_number().over(order) - 1)
-    return written(numbered.drop("_code"), "vocabulary")
+    both = numbered(parts[0].unionByName(parts[1]), [F.col("_code"), F.col("term")], "idx")
+    return written(both.withColumn("idx", F.col("idx") - 1).drop("_code"), "vocabulary")
 
 
 def raw_weights(
@@ -149,7 +164,10 @@ def fit_vocabulary(
 ) -> DataFrame:
     """Count, prune, cap and number the terms of a document table."""
     counts = term_counts(df, cfg.ngram_max, [id_col], text_col)
-    return vocabulary(term_stats(counts), df.count(), cfg)
+    # written after the limit that any block has, so that n-grams are expanded once
+    least = min(cfg.limits(b)[0] for b in BLOCKS)
+    stats = written(term_stats(counts).filter(F.col("df") >= least), "stats")
+    return vocabulary(stats, df.count(), cfg)
 
 
 def tfidf_transform(

@@ -53,8 +53,14 @@ def cluster_documents(
     max_iter: int = 20,
     seed: int = 42,
 ) -> DataFrame:
-    """Group documents by the direction of their embedding."""
-    vectors = df.withColumn("_vector", array_to_vector(F.col(column).cast("array<double>")))
+    """Group documents by the direction of their embedding.
+
+    Null and zero embeddings have none and are noise.
+    """
+    directed = F.coalesce(F.exists(column, lambda x: x != 0), F.lit(False))
+    vectors = df.filter(directed).withColumn(
+        "_vector", array_to_vector(F.col(column).cast("array<double>"))
+    )
     model = KMeans(
         k=k,
         featuresCol="_vector",
@@ -63,7 +69,9 @@ def cluster_documents(
         maxIter=max_iter,
         seed=seed,
     ).fit(vectors)
-    return renumber_clusters(model.transform(vectors).drop("_vector"), cluster_col, min_size)
+    rest = df.filter(~directed).withColumn(cluster_col, F.lit(fv.NOISE_TOPIC))
+    grouped = model.transform(vectors).drop("_vector").unionByName(rest)
+    return renumber_clusters(grouped, cluster_col, min_size)
 
 
 def topic_info(df: DataFrame, topic_col: str = "cluster") -> DataFrame:

@@ -29,6 +29,7 @@ from lexmill.operators.topics import (
     cluster_documents,
     rows_of_topics,
     select_topics,
+    topic_coverage,
     topic_info,
     topic_terms,
     unit_embeddings,
@@ -62,8 +63,9 @@ def long_text_flow(
     labelled = written(require_labels(labelled), "labelled")
     split = written(stratified_split(labelled, seed=seed), "split")
     model = TopicClassifier(cleaners, params=params, settings=settings).fit(split)
-    test = split.filter(F.col("split") == "test")
-    return model, model.evaluate(test)
+    evaluation = model.evaluate(split.filter(F.col("split") == "test"))
+    model.state.test_macro_f1 = evaluation["scores"].first()["macro_f1"]
+    return model, evaluation
 
 
 def short_text_flow(
@@ -110,5 +112,6 @@ def topic_flow(
         "info": info,
         "selected": selected,
         "selected_documents": rows_of_topics(clustered, selected),
+        "coverage": topic_coverage(info),
         "terms": topic_terms(clustered, "cluster", "text_for_cluster"),
     }

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -95,26 +94,10 @@ def clustered_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", "embedding", cluster.alias("cluster"))
 
 
-# small limits, as the test tables are small
-CONFIG = tfidf.TfidfConfig(word_max_features=2000, char_max_features=1000)
+CONFIG = tfidf.TfidfConfig()
 TOPIC_LIMITS = {"head": 4, "min_count": 45, "tail": 3}
-PARAMS = {
-    "ngram_max": 1,
-    "min_df": 2,
-    "max_df": 0.95,
-    "word_max_features": 3000,
-    "char_max_features": 3000,
-    "C": 1.0,
-}
-SETTINGS = Settings(
-    trials=2, max_iter=5, min_bucket_size=30, min_label_support=10, n_clusters=3, threads=6
-)
-SPACE = {
-    "ngram_max": (1, 2),
-    "min_df": (2, 3),
-    "word_max_features": (1000, 3000, 1000),
-    "char_max_features": (1000, 3000, 1000),
-}
+# all defaults but those that follow the size of the tables
+SETTINGS = Settings(trials=2, min_bucket_size=30, n_clusters=3, threads=6)
 
 
 # --- flagship ------------------------------------------------------------------------
@@ -269,6 +252,22 @@ def normalize_phones(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def model_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Text as the models see it: the missing word is empty, the rest is not stripped."""
+    raw = F.when(F.col("doc_id") % 5 == 0, F.lit(" nAn\n")).when(
+        F.col("doc_id") % 5 != 1, F.concat(F.lit(" "), "text")
+    )
+    return spread_documents(spark, sf).select("doc_id", tx.model_text(raw).alias("out"))
+
+
+@query
+def python_text_fn(spark: SparkSession, sf: str) -> DataFrame:
+    """A plain ``str -> str`` function in a chain of cleaners."""
+    clean = tx.chain("normalize_text", tx.python_text_fn(lambda t: t[::-1]))
+    return spread_documents(spark, sf).select("doc_id", clean(F.col("text")).alias("out"))
+
+
 CUSTOM_STEPS = (
     ("apply", "[0-9]+", " # ", None),
     ("repeat", "^[A-Z][a-z]* ", "", 2),
@@ -362,6 +361,15 @@ def dedup_splits(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "text", "split")
 
 
+@query
+def dedup_splits_keep_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Only rows whose key an earlier split holds go; copies inside a split stay."""
+    kept = dedup.dedup_split_table(
+        split_documents(spark, sf), ["doc_id"], key_fn=tx.normalize_text, within=False
+    )
+    return kept.select("doc_id", "text", "split")
+
+
 @query
 def dedup_report(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.dedup_report(split_documents(spark, sf), key_fn=tx.normalize_text)
@@ -432,6 +440,16 @@ def coerce_labels(spark: SparkSession, sf: str) -> DataFrame:
     return labels.coerce_labels(_faulty_labels(spark, sf), as_str=True)
 
 
+@query
+def coerce_labels_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole floating labels become integers, rows without one go."""
+    value = F.when(F.col("doc_id") % 6 == 0, F.lit(float("nan"))).when(
+        F.col("doc_id") % 7 != 0, F.col("n_chars").cast("double")
+    )
+    docs = documents(spark, sf).select("doc_id", value.alias("label"))
+    return labels.coerce_labels(docs, as_str=False)
+
+
 @query
 def encode_labels(spark: SparkSession, sf: str) -> DataFrame:
     return labels.encode_labels(documents(spark, sf), "source")
@@ -641,31 +659,46 @@ def route_predict(spark: SparkSession, sf: str) -> DataFrame:
     return svm.route_predict(stage1, stage2, constants, ["doc_id"])
 
 
-@query
-def score_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    """Linear scores with the label centroids as coefficients and a bias per class."""
-    docs = labelled_documents(spark, sf)
-    features = written(_features(docs, "label"), "features")
+def _centroid_coefficients(docs: DataFrame, features: DataFrame) -> DataFrame:
+    """Label centroids as coefficients, and a bias per class."""
     support = labels.label_support(docs)
-    centroids = hierarchy.label_centroids(features, support)
     bias = support.select(
         F.col("label").alias("class"),
         F.lit(svm.BIAS).alias("idx"),
         (F.col("n") / 10000.0).alias("weight"),
     )
-    coefficients = centroids.withColumnRenamed("label", "class").unionByName(bias)
+    centroids = hierarchy.label_centroids(features, support)
+    named = centroids.withColumnRenamed("label", "class").unionByName(bias)
+    return written(named, "coefficients")
+
+
+@query
+def score_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    """Linear scores with the label centroids as coefficients and a bias per class."""
+    docs = labelled_documents(spark, sf)
+    features = written(_features(docs, "label"), "features")
     keys = ["doc_id"]
     return svm.score_argmax(
         features.select("doc_id", "idx", "weight"),
         docs.select("doc_id"),
-        written(coefficients, "coefficients"),
+        _centroid_coefficients(docs, features),
         keys,
     )
 
 
-@lru_cache(maxsize=2)
+@query
+def score_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scores on packed documents, as the fitted models predict."""
+    docs = labelled_documents(spark, sf)
+    vocab = tfidf.fit_vocabulary(docs, CONFIG)
+    packed = written(tfidf.packed_documents(docs, vocab, CONFIG), "packed")
+    coefficients = _centroid_coefficients(docs, _features(docs, "label"))
+    scored = svm.best_of_stage(packed, coefficients, vocab.count(), ["doc_id"])
+    return scored.select("doc_id", "pred")
+
+
 def _fitted(spark: SparkSession, sf: str) -> TopicClassifierModel:
-    classifier = TopicClassifier(("clean_news",), params=PARAMS, settings=SETTINGS)
+    classifier = TopicClassifier(("clean_news",), tuning=False, settings=SETTINGS)
     return classifier.fit(labelled_documents(spark, sf))
 
 
@@ -679,13 +712,22 @@ def hier_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
 def bundle_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of a model before and after saving and loading it."""
     model = _fitted(spark, sf)
-    again = load_bundle(spark, save_bundle(model, new_folder(spark, "bundle")))
+    again = load_bundle(spark, save_bundle(model, new_folder(spark, "bundle"), ["text"], "label"))
     docs = spread_documents(spark, sf)
     before = model.predict(docs).select("doc_id", F.col("pred").alias("before"))
     both = before.join(again.predict(docs), "doc_id", "full")
     differs = ~F.col("before").eqNullSafe(F.col("pred"))
-    return both.agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if(differs).alias("mismatches")
+    truth = labelled_documents(spark, sf).select("doc_id", "label")
+    known = truth.select(F.col("label").alias("pred"), F.lit(True).alias("known")).distinct()
+    checked = both.join(truth, "doc_id", "left").join(known, "pred", "left")
+    right = F.count_if(F.col("label") == F.col("pred"))
+    most = truth.groupBy("label").count().agg(F.max("count")).scalar()
+    return checked.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(differs).alias("mismatches"),
+        F.count("label").alias("labelled"),
+        F.count_if(F.col("known").isNull()).alias("unknown_labels"),
+        (right > most).alias("beats_majority"),
     )
 
 
@@ -693,7 +735,7 @@ def bundle_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def flat_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).withColumn("split", split_of())
     train = docs.filter("split = 'train'")
-    cfg = tfidf.TfidfConfig(ngram_max=1, word_max_features=1000, char_max_features=1000)
+    cfg = CONFIG
     vocab = tfidf.fit_vocabulary(train, cfg)
     size = vocab.count()
     packed = tfidf.packed_documents(train, vocab, cfg, ["doc_id", "lang"])
@@ -707,7 +749,7 @@ def tune_flat(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread_documents(spark, sf).select(
         "doc_id", "text", F.col("lang").alias("label"), split_of().alias("split")
     )
-    trials = tune(docs, settings=SETTINGS, space=SPACE)
+    trials = tune(docs, settings=SETTINGS)
     return spark.createDataFrame([tuple(t.values()) for t in trials], list(trials[0]))
 
 
@@ -750,10 +792,28 @@ def unit_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cluster_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = topics.cluster_documents(table(spark, sf, "embeddings"), k=12, max_iter=10)
+    rows = topics.cluster_documents(table(spark, sf, "embeddings"), k=12)
     return rows.select("vec_id", "cluster")
 
 
+@query
+def cluster_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties of found clusters: all rows have one, numbers follow falling sizes."""
+    rows = topics.cluster_documents(table(spark, sf, "embeddings"), k=12)
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("cluster >= 0")
+    after = Window.orderBy("cluster")  # a row per cluster, k at most
+    ranked = sizes.select(
+        "cluster", "n", F.lag("n").over(after).alias("larger"), F.row_number().over(after).alias("place")
+    )
+    good = (F.col("cluster") == F.col("place") - 1) & (F.coalesce("larger", "n") >= F.col("n"))
+    noise = rows.agg(F.count_if(F.col("cluster") < 0))
+    return ranked.agg(
+        (F.coalesce(F.sum("n"), F.lit(0)) + noise.scalar()).alias("vectors"),
+        F.coalesce(F.bool_and(good), F.lit(True)).alias("numbered_by_size"),
+        F.coalesce(F.min("n") >= fv.TOPIC_MIN_SIZE, F.lit(True)).alias("large_enough"),
+    )
+
+
 @query
 def renumber_clusters(spark: SparkSession, sf: str) -> DataFrame:
     rows = clustered_embeddings(spark, sf).select("vec_id", "cluster")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -71,6 +71,30 @@ def measured(df: DataFrame) -> DataFrame:
     return cached
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """Rows with their number, from 1, in a total order, without one task for all rows.
+
+    Rows are range-sorted and written with their range's number; a row per range says how
+    many rows come before it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranged")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as partitions, whatever the table's size
+    starts = (
+        ranged.groupBy("_range")
+        .count()
+        .select("_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    )
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (
+        ranged.join(F.broadcast(starts), "_range")
+        .withColumn(name, (F.col("_before") + place).cast("int"))
+        .drop("_range", "_before")
+    )
+
+
 # Largest table sent to every executor on purpose.
 BROADCAST_BYTES = 256 * 1024 * 1024
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.ngrams import char_ngrams, word_ngrams
 from lexmill.operators import classifier as cl
 from lexmill.operators import hierarchy, labels, svm, tfidf
+from lexmill.session import written
 from lexmill.sources.bundle import load_bundle, read_meta, save_bundle
 
 CFG = tfidf.TfidfConfig(ngram_max=2, min_df=1, max_df=0.9)
@@ -210,14 +211,46 @@ def test_hierarchy_and_scores(fitted):
     assert scores["micro_f1"] > 0.9 > majority
 
 
-def test_sent_and_joined_models_agree(fitted, monkeypatch):
+def test_blocks_of_classes_agree(fitted):
     df, model = fitted
-    def rows():
-        return sorted(tuple(r) for r in model.predict(df).collect())
+    tables, cfg = model.state.tables, model.state.tfidf
+    docs = df.select("doc_id", "text").unionByName(
+        df.sparkSession.createDataFrame([(-1, ""), (-2, "zzz")], "doc_id int, text string")
+    )
+    packed = written(tfidf.packed_documents(docs, tables["vocabulary"], cfg), "packed")
+    size = tables["vocabulary"].count()
+    stage = tables["coefficients"].filter("stage = 'stage1'")
+    whole, single, plain = (
+        {r["doc_id"]: r["pred"] for r in rows.collect()}
+        for rows in (
+            svm.best_of_stage(packed, stage, size, ["doc_id"]),
+            svm.best_of_stage(packed, stage, size, ["doc_id"], cells=1),
+            svm.score_argmax(
+                packed.select("doc_id", F.explode(F.arrays_zip("indices", "values")).alias("z")).select(
+                    "doc_id", F.col("z.indices").alias("idx"), F.col("z.values").alias("weight")
+                ),
+                packed.select("doc_id"), stage, ["doc_id"],
+            ),
+        )
+    )
+    assert whole == single == plain and len(whole) == docs.count()
 
-    sent = rows()
-    monkeypatch.setattr(cl, "BROADCAST_CELLS", 0)
-    assert rows() == sent
+
+def test_repeated_ids_keep_their_rows(fitted):
+    df, model = fitted
+    same = df.withColumn("doc_id", F.lit(1)).withColumn("extra", F.create_map(F.lit("a"), "label"))
+    by_text = {r["text"]: r["pred"] for r in model.transform(df).collect()}
+    out = model.transform(same).collect()
+    assert len(out) == df.count()
+    assert all(r["pred"] == by_text[r["text"]] and r["extra"] == {"a": r["label"]} for r in out)
+
+
+def test_unknown_splits_do_not_vanish(spark):
+    df = _weather_and_trains(spark).withColumn(
+        "split", F.when(F.col("doc_id") % 9 == 0, "val").otherwise(F.col("split"))
+    )
+    with pytest.raises(ValueError, match="'val': "):
+        cl.TopicClassifier(params=PARAMS, settings=SETTINGS).fit(df)
 
 
 def test_transform_keeps_columns(fitted):
@@ -230,12 +263,15 @@ def test_transform_keeps_columns(fitted):
 def test_bundle(spark, fitted, tmp_path):
     df, model = fitted
     folder = save_bundle(
-        model, str(tmp_path / "b"), dataset="d", extra_meta={"notes": "n", "cleaning": {"x": 1}}
+        model, str(tmp_path / "b"), ["text"], "label", dataset="d", test_macro_f1=0.5, extra_meta={"notes": "n", "cleaning": {"x": 1}}
     )
     meta = read_meta(spark, folder)
     assert (meta["dataset"], meta["notes"], meta["cleaning"]) == ("d", "n", {"x": 1})
     assert meta["params"] == PARAMS
+    assert meta["metrics"]["test_macro_f1"] == 0.5
     again = load_bundle(spark, folder)
+    with pytest.raises(ValueError, match="another folder"):
+        save_bundle(again, folder, ["text"], "label")
     assert again.state.settings == SETTINGS
     before, after = (sorted(map(tuple, m.predict(df).collect())) for m in (model, again))
     assert before == after
@@ -247,9 +283,9 @@ def test_bundle(spark, fitted, tmp_path):
 
 
 def test_unfitted_model():
-    with pytest.raises(RuntimeError, match="not fitted"):
+    with pytest.raises(RuntimeError, match="has no state"):
         cl.TopicClassifierModel().get_state()
-    with pytest.raises(RuntimeError, match="not trained"):
+    with pytest.raises(RuntimeError, match="fit or load"):
         cl.TopicClassifierModel().predict(None)
 
 

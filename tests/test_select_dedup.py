@@ -67,12 +67,12 @@ def test_within_counts_empty_once_but_normalized_drops_it(spark):
 
 def test_guards(spark):
     df = spark.createDataFrame([(1, "x")], "id int, text string")
-    with pytest.raises(KeyError, match="'body' not found"):
+    with pytest.raises(KeyError, match="no column 'body'"):
         dedup.dedup_within(df, ["id"], "body")
-    with pytest.raises(ValueError, match="subset"):
+    with pytest.raises(ValueError, match="at least one column"):
         dedup.drop_duplicates_normalized(df, [], F.lower, ["id"])
     bad = spark.createDataFrame([("a",), (" ",), (None,), ("NaN",)], "label string")
-    with pytest.raises(ValueError, match="Found 3 "):
+    with pytest.raises(ValueError, match="^3 rows"):
         require_labels(bad)
 
 
@@ -186,6 +186,28 @@ def test_narrow_scans_and_no_cartesian_products(spark, sf):
     assert "text" not in "".join(part.split(">")[0] for part in plan.split("ReadSchema: ")[1:])
 
 
+@pytest.mark.parametrize("within", [True, False])
+def test_unknown_splits_fail(spark, within):
+    rows = [(1, "train", "a"), (2, "val", "a"), (3, "train", "b"), (4, None, "b")]
+    df = spark.createDataFrame(rows, "id int, split string, text string")
+    for job in (
+        lambda: dedup.dedup_split_table(df, ["id"], within=within),
+        lambda: dedup.dedup_report(df, within=within),
+        lambda: dedup.overlap_counts(df),
+    ):
+        with pytest.raises(ValueError, match="None: 1 rows, 'val': 1 rows"):
+            job()
+
+
+def test_copies_inside_a_split_can_stay(spark):
+    rows = [(1, "train", "a"), (2, "train", "a"), (3, "test", "a"), (4, "validation", "b"),
+            (5, "validation", "b"), (6, "test", "b"), (7, "test", "c"), (8, "test", "c")]
+    df = spark.createDataFrame(rows, "id int, split string, text string")
+    kept = dedup.dedup_split_table(df, ["id"], within=False)
+    assert sorted(r["id"] for r in kept.collect()) == [1, 2, 4, 5, 7, 8]
+    assert kept.columns == df.columns
+
+
 def test_spread_only_widens_narrow_scans(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert spread(docs, "doc_id").rdd.getNumPartitions() >= 4

@@ -95,10 +95,20 @@ def test_rows(apply, fn, rows):
 
 
 def test_unknown_step(spark):
-    with pytest.raises(ValueError, match="Unknown step kind"):
+    with pytest.raises(ValueError, match="applies or repeats"):
         tx.apply_steps(F.col("t"), [("twice", "a", "b", None)])
 
 
+def test_empty_text_stops_the_steps(apply):
+    steps = [("apply", "^", "X ", None), ("repeat", "^X ", "Y", 2)]
+    assert apply(lambda c: tx.apply_steps(c, steps), ["", " ", None, "a"]) == ["", "", "", "Ya"]
+
+    def mark(c):
+        return F.concat(c, F.lit("Z"))
+
+    assert apply(tx.chain("normalize_text", mark, mark), ["", None, "nan", "a"]) == ["", "", "", "aZZ"]
+
+
 def test_custom_steps(apply):
     steps = [("apply", "x+", "", None), ("repeat", "^a ", "", 0)]
     assert apply(lambda c: tx.apply_steps(c, steps), ["a a a a bxx", "a"]) == ["a b", "a"]
