@@ -9,10 +9,14 @@ is the shortest start of its order whose signatures can't all be lost with ``d``
   share a cell; a cell with m shingles in the prefix loses all its pairs with m - 1 of them
   and all its triples with m - 2, so each cell lengthens the prefix by one or two.
 
+Sets of similar size can lack fewer shingles than ``d``, so that combinations are made four
+times, each with the prefix that its pairs need: for sets of equal size, for sizes within
+about a hundredth, within a few hundredths, and for all others. A combination carries the size, size cell or octave it
+was made for; a set that may link into the next cell or octave is indexed under both. The
+number of cells follows that size, which keeps the combinations in proportion to the prefix.
+
 Of two linked sets the one whose prefix ends first keeps a signature that the other has too,
-whatever the order and the classes, as long as both use the same. Cells depend on the octave
-of a set's size, so that the combinations stay in proportion to the prefix; a set that may
-link into the next octave is indexed under both.
+whatever the order and the classes, as long as both use the same.
 
 Steps, all but the last on distinct sets (``node``, a 64-bit key of the set):
 
@@ -37,6 +41,7 @@ component; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +58,9 @@ MOST_LEVELS = 1 << 22
 LEVEL_SLOTS = 1 << 25
 # least count of a level; classes 2 and 3 start at these levels
 RARE_BELOW = 8
+# width of a size cell, as a logarithm, and cells in a wide one
+SIZE_CELL = 0.005
+WIDE = 4
 PAIRS_FROM, TRIPLES_FROM = 1, 5
 # prefix shingles per cell
 PAIR_CELL, TRIPLE_CELL = 3, 5
@@ -185,43 +193,85 @@ def missing_at_most(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den)
 
 
-def octaves(n: int, num: int, den: int) -> list[int]:
-    """The set's octave of size, and the next if a linked set may be that large."""
+EQUAL, CLOSE, NEAR, FAR, ANY = range(5)
+MOST_PLACES = 1 << 18
+
+
+def size_cell(n: int) -> int:
+    return int(math.log(n) / SIZE_CELL)
+
+
+def schemes(n: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """(scheme, tag, shingles that the prefix must resist, least size under the tag) of a set.
+
+    Sets of sizes ``n`` and ``m`` link only if they share ``num * (n + m) / (num + den)``. A
+    set is tagged with its own cell and the next, so that sets of adjacent cells share a tag.
+    """
+    lacking = lambda m: n - -(-num * (n + m) // (num + den))
+    far = missing_at_most(n, num, den)
+    out = [(EQUAL, n, lacking(n), n)]
+    for kind, width in ((CLOSE, 1), (NEAR, WIDE)):
+        cell = size_cell(n) // width
+        smallest = lambda c, width=width: max(1, int(math.exp(c * width * SIZE_CELL)))
+        some = min(far, max(lacking(smallest(cell - 1)), lacking(n)))
+        out += [(kind, tag, some, smallest(tag - 1)) for tag in (cell, cell + 1)]
     own = n.bit_length()
-    return [own, own + 1] if n * den // num >= 1 << own else [own]
+    tags = [own, own + 1] if n * den // num >= 1 << own else [own]
+    return out + [(FAR, tag, far, num * (1 << (tag - 1)) // den) for tag in tags]
 
 
-def signatures(hashes: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of one set; ``levels`` is 0 for rare shingles."""
+def signatures(
+    hashes: np.ndarray, levels: np.ndarray, num: int, den: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set and, for each, its scheme in 3 bits and above them the place of
+    a single shingle in the set's order. ``levels`` is 0 for rare shingles."""
     n = len(hashes)
     need = missing_at_most(n, num, den) + 1
     rare = hashes[levels == 0]  # sorted, as ``hashes`` are
-    if len(rare) >= need:
-        return rare[:need]
-    order = np.lexsort((hashes, levels))
-    hashes, levels = hashes[order], levels[order]
-    rare = int(np.searchsorted(levels, PAIRS_FROM))
-    out = [hashes[:rare]]
-    pairs_end = int(np.searchsorted(levels, TRIPLES_FROM))
-    for octave in octaves(n, num, den):
-        out.append(_combined(hashes[rare:pairs_end], hashes[pairs_end:], need - rare, octave, num, den))
-    return np.unique(np.concatenate(out))
-
-
-def _cells(octave: int, num: int, den: int) -> tuple[int, int]:
-    about = missing_at_most(1 << (octave - 1), num, den) + 1
-    return max(1, about // PAIR_CELL), max(1, about // TRIPLE_CELL)
-
-
-def _combined(pairs: np.ndarray, triples: np.ndarray, need: int, octave: int, num: int, den: int) -> np.ndarray:
-    """Combinations inside cells, of the shortest prefix that still resists ``need - 1``."""
-    pair_cells, triple_cells = _cells(octave, num, den)
+    singles = rare[:need]
+    out, kinds = [singles], [(np.arange(len(singles)) << 3) + ANY]
+    if len(rare) < need:
+        order = np.lexsort((hashes, levels))[len(rare) :]
+        hashes, levels = hashes[order], levels[order]
+        pairs, triples = np.split(hashes, [int(np.searchsorted(levels, TRIPLES_FROM))])
+        for kind, tag, lacking, least in schemes(n, num, den):
+            if lacking + 1 > len(rare):
+                mark, wanted = _U64(tag * 8 + kind), lacking + 1 - len(rare)
+                cells = combination_cells(least, num, den)
+                if cells:
+                    out.append(np.unique(_combined(pairs, triples, wanted, cells, mark)))
+                else:
+                    out.append(_marked(hashes[:wanted], mark))
+                kinds.append(np.full(len(out[-1]), kind, np.int64))
+    return np.concatenate(out), np.concatenate(kinds)
+
+
+def combination_cells(least: int, num: int, den: int) -> tuple[int, int] | None:
+    """Cells for pairs and for triples of sets of ``least`` shingles or more. They cost the
+    prefix no more than a linked set keeps; sets too small for that use single shingles."""
+    room, about = num * least // den - 1, missing_at_most(least, num, den) + 1
+    if room < 3:
+        return None
+    triples = max(1, min(about // TRIPLE_CELL, room // 4))
+    return max(1, min(about // PAIR_CELL, room - 2 * triples)), triples
+
+
+def _marked(values: np.ndarray, mark: np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(values + mark * _U64(0xA0761D6478BD642F))
+
+
+def _combined(
+    pairs: np.ndarray, triples: np.ndarray, need: int, cells: tuple[int, int], mark: np.uint64
+) -> np.ndarray:
+    """Combinations inside cells, of the shortest prefix that resists ``need - 1`` losses."""
+    pair_cells, triple_cells = cells
     pair_cell = (mix64(pairs) % _U64(pair_cells)).astype(np.int64)
     triple_cell = (mix64(triples) % _U64(triple_cells)).astype(np.int64)
     gains = np.concatenate([_gain(pair_cell, 2), _gain(triple_cell, 3)])
-    reached = np.cumsum(gains)
-    end = int(np.searchsorted(reached, need)) + 1
-    mark = _U64(octave)
+    end = int(np.searchsorted(np.cumsum(gains), need)) + 1
+    if end > len(gains):
+        raise AssertionError("a set's combinations can't resist its losses")
     out = [_combinations(pairs[:end], pair_cell[:end], 2, mark)]
     if end > len(pairs):
         k = end - len(pairs)
@@ -257,7 +307,7 @@ def _combinations(hashes: np.ndarray, cells: np.ndarray, size: int, mark) -> np.
                 both = (group[i] * _U64(0x9FB21C651E98DF25) + group[j]) * _U64(
                     0xD6E8FEB86659FD93
                 ) + group[k]
-            out.append(mix64(both + mark))
+            out.append(_marked(both, mark))
     return np.concatenate(out) if out else hashes[:0]
 
 
@@ -290,14 +340,16 @@ def _levels_of(hashes: np.ndarray, table: np.ndarray, blocks: int) -> np.ndarray
 
 
 def _signed_docs(docs: DataFrame, size: int, num: int, den: int, table, blocks: int) -> DataFrame:
-    """Two kinds of rows: ``sig, node`` for the signatures of each set that is new in its
-    task's batch, and with null ``sig`` ``doc_id, node, n, sketch`` for each document."""
+    """Two kinds of rows: ``sig, node, size`` for the signatures of each set that is new in
+    its task's batch, and with null ``sig`` ``doc_id, node, n, sketch`` for each document.
+    ``size`` holds the set's size, a single shingle's place (18 bits, a later place counts as
+    the last), the size cell (13 bits) and the scheme (3 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _column(batch, "doc_id")
             nodes, ns, sketches, seen = [], [], [], set()
-            sigs, owners, held = [], [], 0
+            sigs, held = [], 0
             for words in words_of(_column(batch, "text")):
                 for _, hashes in row_shingles(words, size):
                     n = len(hashes)
@@ -312,32 +364,36 @@ def _signed_docs(docs: DataFrame, size: int, num: int, den: int, table, blocks:
                         continue
                     seen.add(node)
                     sketches.append(_sketch(hashes))
-                    sig = signatures(hashes, levels, num, den)
-                    sigs.append(sig)
-                    owners.append(np.full(len(sig), node))
+                    sig, kinds = signatures(hashes, levels, num, den)
+                    places = np.minimum(kinds >> 3, MOST_PLACES - 1)
+                    sizes = (n << 34) + (places << 16) + (size_cell(n) << 3) + (kinds & 7)
+                    sigs.append((sig, np.full(len(sig), node), sizes))
                     held += len(sig)
                 if held > 500_000:
-                    yield _signature_batch(sigs, owners)
-                    sigs, owners, held = [], [], 0
+                    yield _signature_batch(sigs)
+                    sigs, held = [], 0
             if sigs:
-                yield _signature_batch(sigs, owners)
+                yield _signature_batch(sigs)
             k = len(ns)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.array(nodes, pa.int64()), ids,
-                 pa.array(ns, pa.int64()), pa.array(sketches, pa.binary())],
-                ["sig", "node", "doc_id", "n", "sketch"],
+                [pa.nulls(k, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int64()), ids,
+                 pa.array(ns, pa.int64()), _column(batch, "text_key"), pa.array(sketches, pa.binary())],
+                ["sig", "node", "size", "doc_id", "n", "text_key", "sketch"],
             )
 
-    return docs.mapInArrow(run, "sig long, node long, doc_id long, n long, sketch binary")
+    return docs.mapInArrow(
+        run,
+        "sig long, node long, size long, doc_id long, n long, text_key long, sketch binary",
+    )
 
 
-def _signature_batch(sigs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-    sig, owner = np.concatenate(sigs), np.concatenate(owners)
+def _signature_batch(sigs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    sig, owner, size = (np.concatenate(parts) for parts in zip(*sigs, strict=True))
     k = len(sig)
     return pa.RecordBatch.from_arrays(
-        [_signed(sig), _signed(owner), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-         pa.nulls(k, pa.binary())],
-        ["sig", "node", "doc_id", "n", "sketch"],
+        [_signed(sig), _signed(owner), pa.array(size), pa.nulls(k, pa.int64()),
+         pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
+        ["sig", "node", "size", "doc_id", "n", "text_key", "sketch"],
     )
 
 
@@ -444,28 +500,56 @@ def jaccard_classes(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+    """``doc_id, n_shingles, component_id, text_key`` of every row of ``docs``.
 
+    ``text_key`` is the text's 64-bit hash, to find rows again whose id is null or not unique.
     ``similarity`` is a fraction; sets link at that Jaccard similarity or more. The component
     is named by the smallest id that is reachable by links.
     """
     num, den = similarity
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
+        F.xxhash64(text).alias("text_key"),
+    )
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     frequent = written(_frequent(_counts(docs, size, blocks), RARE_BELOW), "levels")
     table = spark.sparkContext.broadcast(_level_table(frequent, MOST_LEVELS, LEVEL_SLOTS))
     signed = written(_signed_docs(docs, size, num, den, table, blocks), "signatures")
-    rows = signed.filter("sig is null").select("doc_id", "node", "n", "sketch")
+    rows = signed.filter("sig is null").drop("sig", "size")
     classes = written(
         rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes"
     )
 
-    entries = signed.filter("sig is not null").select("sig", "node")
+    def fits(x: str, y: str):
+        """Whether two sizes of one signature are of its scheme and may link at all.
+
+        A single shingle only counts where it may be the first that two linked sets share:
+        no more than what follows it in either order can be shared then.
+        """
+        n, m = F.shiftright(x, 34), F.shiftright(y, 34)
+        place = lambda c: F.shiftright(c, 16) % MOST_PLACES
+        first = F.least(n - place(x), m - place(y)) * (num + den) >= num * (n + m)
+        cell = lambda c, width: F.floor(F.shiftright(c, 3) % 8192 / width)
+        close = F.abs(cell(x, 1) - cell(y, 1)) <= 1
+        near = F.abs(cell(x, WIDE) - cell(y, WIDE)) <= 1
+        kind = F.col(x) % 8
+        of_scheme = (
+            F.when(kind == CLOSE, (n != m) & close)
+            .when(kind == NEAR, ~close & near)
+            .when(kind == FAR, ~near)
+            .when(kind == ANY, first)
+            .otherwise(True)
+        )
+        return of_scheme & (F.least(n, m) * den >= F.greatest(n, m) * num)
+
+    entries = signed.filter("sig is not null").select("sig", "node", "size")
     pivots = (
         entries.groupBy("sig")
-        .agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
+        .agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("other"))
+        .select("sig", F.col("least.node").alias("pivot"), F.col("least.size").alias("pivot_size"), "other")
         .filter("pivot != other")
         .drop("other")
     )
@@ -485,7 +569,7 @@ def jaccard_classes(
         sets = _sets_of(docs, classes.join(nodes, "node", "left_semi"), size, table, blocks)
         return written(_verified(likely, written(sets, "sets"), num, den), "links")
 
-    stars = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    stars = members.filter((F.col("node") != F.col("pivot")) & fits("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = verified(stars.distinct())
     components = written(connected_components(links), "components")
 
@@ -501,12 +585,15 @@ def jaccard_classes(
     # a pivot has met all others of its signature
     rest = written(placed.join(apart, "sig").filter("node != pivot"), "rest")
     left, right = (
-        rest.select("sig", F.col("node").alias(n), F.col("component").alias(f"{n}_component"))
+        rest.select(
+            "sig", F.col("node").alias(n), F.col("component").alias(f"{n}_of"),
+            F.col("size").alias(f"{n}_size"),
+        )
         for n in ("a", "b")
-    )
+    )
     pairs = (
         left.join(right, "sig")
-        .filter("a < b and a_component != b_component")
+        .filter((F.col("a") < F.col("b")) & (F.col("a_of") != F.col("b_of")) & fits("a_size", "b_size"))
         .select("a", "b")
         .distinct()
     )
@@ -520,13 +607,31 @@ def jaccard_classes(
     firsts = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(named.join(firsts, "component").select("node", "component_id"), "named")
     return (
-        rows.select("doc_id", "node", F.col("n").alias("n_shingles"))
+        rows.select("doc_id", "node", "text_key", F.col("n").alias("n_shingles"))
         .join(named, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select(
+            "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+            "text_key",
+        )
     )
 
 
-def first_of_each_class(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose id names their component; of rows with one id, all or none."""
-    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id] == F.col("_kept"), "left_semi")
+def first_of_each_class(
+    docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One document of each class of ``jaccard_classes``: that whose id names it.
+
+    A repeated row stays once. Rows without id stay if no row of their class has one.
+    """
+    kept = written(
+        classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "kept",
+    )
+    found = docs.join(
+        kept, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left_semi"
+    )
+    if kept.filter("n > 1").isEmpty():
+        return found
+    return found.dropDuplicates([doc_id, text])

@@ -42,7 +42,8 @@ def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard_classes(_table(spark, sf, "documents"), size=3, similarity=(9, 10))
+    classes = jaccard_classes(_table(spark, sf, "documents"), size=3, similarity=(9, 10))
+    return classes.drop("text_key")
 
 
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
