@@ -35,6 +35,7 @@ from lexmill.llm.byte_words import (
     PUNCTUATED,
     UPPER,
     Words,
+    bounded_batches,
     inside_rows,
     shingles,
     words_of,
@@ -174,6 +175,7 @@ def find_leaks(
     """``doc_id, item_id, windows`` (of the item, matched), ``cover``, one row per pair of a
     document and an item that it holds."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     one = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.col(text).alias("text"))
     items = written(_window_rows(one(benchmark, item_id), None), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # 5 to WINDOW

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import mix64, row_shingles, set_key, words_of
+from lexmill.llm.byte_words import bounded_batches, mix64, row_shingles, set_key, words_of
 from lexmill.llm.components import connected_components
 from lexmill.session import written
 
@@ -341,14 +341,15 @@ def _levels_of(hashes: np.ndarray, table: np.ndarray, blocks: int) -> np.ndarray
 
 def _signed_docs(docs: DataFrame, size: int, num: int, den: int, table, blocks: int) -> DataFrame:
     """Two kinds of rows: ``sig, node, size`` for the signatures of each set that is new in
-    its task's batch, and with null ``sig`` ``doc_id, node, n, sketch`` for each document.
+    its task, and with null ``sig`` ``doc_id, node, n, sketch`` for each document.
     ``size`` holds the set's size, a single shingle's place (18 bits, a later place counts as
     the last), the size cell (13 bits) and the scheme (3 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # 64 bits for each document of the task
         for batch in batches:
             ids = _column(batch, "doc_id")
-            nodes, ns, sketches, seen = [], [], [], set()
+            nodes, ns, sketches = [], [], []
             sigs, held = [], 0
             for words in words_of(_column(batch, "text")):
                 for _, hashes in row_shingles(words, size):
@@ -508,6 +509,7 @@ def jaccard_classes(
     """
     num, den = similarity
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).alias("text"),

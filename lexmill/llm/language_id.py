@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import LOWER, slices
+from lexmill.llm.byte_words import LOWER, bounded_batches, slices
 from lexmill.session import written
 
 UNKNOWN = "und"
@@ -91,6 +91,7 @@ def train_languages(texts: DataFrame) -> tuple[list[str], np.ndarray]:
                 ["lang", "pair", "n"],
             )
 
+    bounded_batches(texts.sparkSession)
     known = texts.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
     counts = written(
         known.select("text", "lang")
@@ -117,6 +118,7 @@ def train_languages(texts: DataFrame) -> tuple[list[str], np.ndarray]:
 def _likelihoods(rows: DataFrame, text: str, model: np.ndarray) -> DataFrame:
     """``rows`` with ``text_ll`` instead of the text: per language, and last for no language."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model.astype(np.float32))
 
     @F.arrow_udf("array<double>")

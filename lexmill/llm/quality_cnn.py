@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import text_bytes
+from lexmill.llm.byte_words import bounded_batches, text_bytes
 from lexmill.session import written
 
 SAMPLE_ROWS = 4096
@@ -298,6 +298,7 @@ def score_quality(docs: DataFrame, net: Network | None, text: str = "text") -> D
     if net is None:
         return docs.select(*kept, F.lit(0.5).alias("score"))
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(_packed(net))  # 40 kB
 
     @F.arrow_udf("double")
