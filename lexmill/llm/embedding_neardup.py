@@ -6,7 +6,9 @@ directions; the nearest ``k`` stay. Rounds end when few lists change. A list who
 entry still reaches the threshold is saturated: it is enlarged to all of the vector's
 component, cut into blocks whose pairs are multiplied out in numpy, so that no pair is ever
 a row; blocks that lie close to or far from each other by the triangle inequality are
-counted whole. Recall is audited against all rows for a sample of vectors.
+counted whole. Links between saturated vectors may be in no list, so the blocks of all
+components with a saturated list meet within their label, and components that turn out to be
+linked are merged. Recall is audited against all rows for a sample of vectors.
 
 Links are exact cosines in double precision. Vectors that are null, empty, zero or hold a
 null or non-finite component, and rows without label, link with nothing.
@@ -35,6 +37,8 @@ SAMPLE = 6
 ROUNDS = 6
 PROJECTIONS = 4
 BLOCK = 256
+# centres of blocks that are compared at once, about
+CENTRES = 512
 AUDIT_ROWS = 256
 AUDIT_RECALL = 0.98
 MOST_ATTEMPTS = 4
@@ -205,34 +209,37 @@ def _meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         yield _edge_batch(np.concatenate(us), np.concatenate(vs), np.concatenate(ss))
 
 
-def _dense_counts(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """``node, linked`` (rows linked, its own copies and itself included) inside components.
+def _dense_counts(members: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """``node, linked`` (rows linked, its own copies and itself included) among all members of
+    a cell, and ``u, v``, components that a link joins.
 
-    ``members``: ``component, node, mult, dim, blob``. A component is cut into blocks in the
-    order of the angle to its first vector, and blocks are multiplied out pair by pair; only
-    a block and the counts of its vectors are ever rows.
+    ``members``: ``component, cell, node, mult, dim, blob``. A component is cut into blocks in
+    the order of the angle to its first vector. Two blocks of a cell can only hold a link if
+    their centres are no further apart than their radii and the threshold's angle together;
+    those are multiplied out. Only a block and the counts of its vectors are ever rows.
     """
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pivots = members.filter("node = component").select("component", F.col("blob").alias("pivot"))
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(3).to_numpy()
+            dims = batch.column(4).to_numpy()
             out = np.zeros(batch.num_rows)
             for dim in np.unique(dims):
                 at = pa.array(np.flatnonzero(dims == dim))
-                a, b = (_unit(batch.column(c).take(at), int(dim)) for c in (4, 5))
+                a, b = (_unit(batch.column(c).take(at), int(dim)) for c in (5, 6))
                 out[at.to_numpy()] = np.arccos(np.clip((a * b).sum(1), -1, 1))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(out), pa.array(np.ones(batch.num_rows, np.int64))],
-                ["component", "node", "mult", "dim", "blob", "angle", "one"],
+                [*batch.columns[:6], pa.array(out), pa.array(np.ones(batch.num_rows, np.int64))],
+                ["component", "cell", "node", "mult", "dim", "blob", "angle", "one"],
             )
 
     placed = members.join(pivots, "component").select(
-        "component", "node", "mult", "dim", "blob", "pivot"
+        "component", "cell", "node", "mult", "dim", "blob", "pivot"
     )
     placed = placed.mapInArrow(
         angles,
-        "component long, node long, mult long, dim int, blob binary, angle double, one long",
+        "component long, cell long, node long, mult long, dim int, blob binary, angle double, one long",
     )
     order = [F.col("component"), F.col("angle"), F.col("node")]
     numbered = written(running_totals(placed, order, {"number": "one"}), "numbered")
@@ -242,45 +249,115 @@ def _dense_counts(members: DataFrame, threshold: float, block: int) -> DataFrame
         .withColumn("block", F.floor((F.col("number") - F.col("start")) / block))
         .groupBy("component", "block")
         .agg(
-            F.min("angle").alias("low"),
-            F.max("angle").alias("high"),
+            F.min("number").alias("id"),
+            F.first("cell").alias("cell"),
             F.collect_list(F.struct("node", "mult", "dim", "blob")).alias("rows"),
         )
     )
     # ``block`` rows at most
-    blocks = written(blocks, "blocks")
-    left = blocks.select("component", F.col("block").alias("i"), F.col("low").alias("i_low"),
-                         F.col("high").alias("i_high"), F.col("rows").alias("a"))
-    right = blocks.select("component", F.col("block").alias("j"), F.col("low").alias("j_low"),
-                          F.col("high").alias("j_high"), F.col("rows").alias("b"))
-    reach = float(np.arccos(threshold)) + 1e-9
-    pairs = left.join(right, "component").filter(
-        (F.col("i") <= F.col("j")) & (F.col("j_low") - F.col("i_high") <= reach)
+    blocks = written(blocks.select("id", "component", "cell", "rows"), "blocks")
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, radii = [], []
+            for rows in batch.column(2):
+                rows = pa.RecordBatch.from_struct_array(rows.values)
+                units = _unit(rows.column(3), rows.column(2)[0].as_py())
+                middle = units.mean(axis=0)
+                length = np.sqrt(middle @ middle)
+                middle = middle / length if length > 1e-9 else units[0]
+                centres.append(middle.tobytes())
+                radii.append(float(np.arccos(np.clip(units @ middle, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(centres, pa.binary()), pa.array(radii, pa.float64())],
+                ["id", "cell", "centre", "radius"],
+            )
+
+    centres = written(
+        blocks.select("id", "cell", "rows").mapInArrow(
+            centre, "id long, cell long, centre binary, radius double"
+        ),
+        "centres",
+    )
+    sizes = centres.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CENTRES).alias("m"))
+    chunks = written(
+        centres.join(sizes, "cell")
+        .withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("m")))
+        .groupBy("cell", "chunk")
+        .agg(F.collect_list(F.struct("id", "centre", "radius")).alias("them")),
+        "chunks",
+    )
+    each = sizes.select("cell", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    each = each.select("cell", "i", F.explode(F.sequence("i", F.col("m") - 1)).alias("j"))
+    chunk_pairs = (
+        each.repartition(n, "cell", "i", "j")
+        .join(chunks.select("cell", F.col("chunk").alias("i"), F.col("them").alias("a")), ["cell", "i"])
+        .join(chunks.select("cell", F.col("chunk").alias("j"), F.col("them").alias("b")), ["cell", "j"])
+        .select((F.col("i") == F.col("j")).alias("same"), "a", "b")
     )
+    reach = float(np.arccos(threshold))
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b = (pa.RecordBatch.from_struct_array(batch.column(c)[k].values) for c in (1, 2))
-                dim = a.column(2)[0].as_py()
-                s = _unit(a.column(3), dim) @ _unit(b.column(3), dim).T >= threshold
-                same = batch.column(0)[k].as_py()
+                u, v = (
+                    np.frombuffer(b"".join(x.column(1).to_pylist())).reshape(x.num_rows, -1)
+                    for x in (a, b)
+                )
+                apart = np.arccos(np.clip(u @ v.T, -1, 1))
+                radii = a.column(2).to_numpy()[:, None] + b.column(2).to_numpy()
+                ok = apart <= radii + reach + 1e-6
+                one, other = a.column(0).to_numpy(), b.column(0).to_numpy()
+                if batch.column(0)[k].as_py():
+                    ok &= one[:, None] <= other
+                i, j = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one[i]), pa.array(other[j]),
+                     pa.array((apart + radii)[i, j] <= reach - 1e-6)],
+                    ["i", "j", "whole"],
+                )
+
+    pairs = written(chunk_pairs.mapInArrow(near, "i long, j long, whole boolean"), "pairs")
+    pairs = pairs.join(
+        blocks.select(F.col("id").alias("i"), F.col("component").alias("u"), F.col("rows").alias("a")), "i"
+    ).join(
+        blocks.select(F.col("id").alias("j"), F.col("component").alias("v"), F.col("rows").alias("b")), "j"
+    )
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same, whole, u, v = (batch.column(c)[k].as_py() for c in range(4))
+                a, b = (pa.RecordBatch.from_struct_array(batch.column(c)[k].values) for c in (4, 5))
+                one, other = a.column(1).to_numpy(), b.column(1).to_numpy()
+                if whole:
+                    s = np.ones((len(one), len(other)), bool)
+                else:
+                    dim = a.column(2)[0].as_py()
+                    s = _unit(a.column(3), dim) @ _unit(b.column(3), dim).T >= threshold
                 if same:
                     np.fill_diagonal(s, True)
-                one, other = a.column(1).to_numpy(), b.column(1).to_numpy()
-                nodes, counts = [a.column(0)], [s @ other]
+                nodes, counts = [a.column(0).to_numpy()], [s @ other]
                 if not same:
-                    nodes.append(b.column(0))
+                    nodes.append(b.column(0).to_numpy())
                     counts.append(one @ s)
+                joins = [None] * (len(one) + (0 if same else len(other)))
+                if u != v and s.any():
+                    nodes.append([u])
+                    counts.append([0])
+                    joins.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays(nodes), pa.array(np.concatenate(counts).astype(np.int64))],
-                    ["node", "linked"],
-                )
+                    [pa.array(np.concatenate(nodes).astype(np.int64)),
+                     pa.array(np.concatenate(counts).astype(np.int64)), pa.array(joins, pa.int64())],
+                    ["node", "linked", "other"],
+                )
 
-    counted = pairs.select((F.col("i") == F.col("j")).alias("same"), "a", "b").mapInArrow(
-        multiply, "node long, linked long"
-    )
-    return counted.groupBy("node").agg(F.sum("linked").alias("linked"))
+    counted = pairs.select((F.col("i") == F.col("j")).alias("same"), "whole", "u", "v", "a", "b")
+    counted = written(counted.mapInArrow(multiply, "node long, linked long, other long"), "counted")
+    linked = counted.filter("other IS NULL").groupBy("node").agg(F.sum("linked").alias("linked"))
+    joins = counted.filter("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    return linked, joins.distinct()
 
 
 def audit_recall(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
@@ -339,7 +416,7 @@ def embedding_classes(
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
     While the audit finds less than ``recall`` of the links, further projections and rounds
-    follow, ``MOST_ATTEMPTS`` times at most.
+    follow, ``MOST_ATTEMPTS`` times at most; after that it is an error.
     """
     vectors = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"),
@@ -377,8 +454,11 @@ def embedding_classes(
             if linked == before:
                 break
         counts, components = _counted(lists, nodes, threshold, k, block)
-        if audit_recall(nodes, counts, threshold) >= recall:
+        found = audit_recall(nodes, counts, threshold)
+        if found >= recall:
             break
+    else:
+        raise RuntimeError(f"only {found:.4f} of the audited links after {MOST_ATTEMPTS} attempts")
     firsts = (
         nodes.join(components, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
@@ -407,12 +487,18 @@ def _counted(lists: DataFrame, nodes: DataFrame, threshold: float, k: int, block
     saturated = links.groupBy("u").count().filter(F.col("count") >= k).select(F.col("u").alias("node"))
     dense = components.join(saturated, "node", "left_semi").select("component").distinct()
     inside = components.join(dense, "component", "left_semi").join(nodes, "node")
-    dense_counts = written(
-        _dense_counts(
-            inside.select("component", "node", "mult", "dim", "blob"), threshold, block
-        ),
-        "dense",
+    dense_counts, joins = _dense_counts(
+        inside.select("component", "cell", "node", "mult", "dim", "blob"), threshold, block
     )
+    dense_counts = written(dense_counts, "dense")
+    if not joins.isEmpty():
+        merged = connected_components(joins, "u", "v").select(
+            F.col("node").alias("component"), F.col("component").alias("merged")
+        )
+        components = components.join(merged, "component", "left").select(
+            "node", F.coalesce("merged", "component").alias("component")
+        )
+        components = written(components, "components")
     near = (
         both.join(nodes.select(F.col("node").alias("v"), "mult"), "v")
         .groupBy(F.col("u").alias("node"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lexmill.llm.decontamination import find_leaks, without_leaks
-from lexmill.llm.embedding_neardup import embedding_classes
+from lexmill.llm.embedding_neardup import _counted, embedding_classes
 from lexmill.llm.license_scan import STEP_SHARE, TEMPLATES, band_recall, scan_licenses
 
 
@@ -161,6 +161,26 @@ def test_embeddings_equal_all_pairs(spark):
     assert all(r[3] == (r[0] == r[2]) for r in got)
 
 
+def test_tight_groups_inside_a_group(spark):
+    """All ten places of a list go to the own tight group, so no list leads to the others."""
+    draw = np.random.Generator(np.random.PCG64(5))
+    axes = np.linalg.qr(draw.normal(size=(48, 48)))[0]
+    rows = [
+        axes[0] + 0.123 * axes[g + 1] + draw.normal(size=48) * 0.0033 for g in range(4) for _ in range(15)
+    ]
+    units = np.array([v / np.linalg.norm(v) for v in rows])
+    s = units @ units.T
+    np.fill_diagonal(s, -1)
+    lists = [(i, int(j), float(s[i, j])) for i in range(60) for j in np.argsort(-s[i])[:10]]
+    assert all(u // 15 == v // 15 for u, v, _ in lists) and s[0, 59] > 0.98
+    lists = spark.createDataFrame(lists, "u long, v long, s double")
+    nodes = [(i, 1, 1, 48, bytearray(v.tobytes())) for i, v in enumerate(units)]
+    nodes = spark.createDataFrame(nodes, "node long, cell long, mult long, dim int, blob binary")
+    counts, components = _counted(lists, nodes, 0.98, 10, 16)
+    assert {r.component for r in components.collect()} == {0}
+    assert sorted(map(tuple, counts.collect())) == [(i, int((s[i] >= 0.98).sum())) for i in range(60)]
+
+
 def test_no_embeddings(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_classes(none).count() == 0
