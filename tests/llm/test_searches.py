@@ -4,7 +4,13 @@ import numpy as np
 import pytest
 
 from lexmill.llm.decontamination import find_leaks, without_leaks
-from lexmill.llm.embedding_neardup import _counted, embedding_classes
+from lexmill.llm.embedding_neardup import (
+    _counted,
+    _projected,
+    audit_recall,
+    embedding_classes,
+    projections,
+)
 from lexmill.llm.license_scan import STEP_SHARE, TEMPLATES, band_recall, scan_licenses
 
 
@@ -181,6 +187,36 @@ def test_tight_groups_inside_a_group(spark):
     assert sorted(map(tuple, counts.collect())) == [(i, int((s[i] >= 0.98).sum())) for i in range(60)]
 
 
+def test_orders_meet_isolated_pairs(spark):
+    draw = np.random.Generator(np.random.PCG64(6))
+    n = 10_000
+    first, across = draw.normal(size=(2, n, 64))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    across -= (across * first).sum(1, keepdims=True) * first
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    second = 0.983 * first + np.sqrt(1 - 0.983**2) * across
+    nodes = [(i, 1, 64, bytearray(v.tobytes())) for i, v in enumerate(np.concatenate([first, second]))]
+    nodes = spark.createDataFrame(nodes, "node long, cell long, dim int, blob binary")
+    orders = projections(2 * n, 0.98)
+    met = [
+        _projected(nodes, range(m), 13).filter(f"v = u + {n}").select("u").distinct().count() / n
+        for m in (4, orders)
+    ]
+    print("met in 4 orders, in", orders, met)
+    assert met[0] < 0.95 and met[1] > 0.995
+    assert projections(1_000_000, 0.98) >= 16
+
+
+def test_audit_judges_vectors_of_few_links_apart(spark):
+    vectors = [[1.0, 0.0]] * 1 + [[0.0, 1.0]] * 1
+    near = lambda v, e: [v[0] + e * v[1], v[1] + e * v[0]]
+    rows = [near(vectors[0], i / 1000) for i in range(40)] + [near(vectors[1], i / 1000) for i in range(2)]
+    nodes = [(i, 1, 1, 2, bytearray(np.array(v).tobytes())) for i, v in enumerate(rows)]
+    nodes = spark.createDataFrame(nodes, "node long, cell long, mult long, dim int, blob binary")
+    counts = spark.createDataFrame([(i, 39 if i < 40 else 0) for i in range(42)], "node long, n_links long")
+    assert audit_recall(nodes, counts, 0.98) == 0.0
+
+
 def test_no_embeddings(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_classes(none).count() == 0
