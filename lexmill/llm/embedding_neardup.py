@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm.byte_words import mix64
 from lexmill.llm.components import connected_components
 from lexmill.llm.mixing import running_totals
 from lexmill.session import written
@@ -226,6 +227,13 @@ def _meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         yield _edge_batch(np.concatenate(us), np.concatenate(vs), np.concatenate(ss))
 
 
+def _sides(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of block ids, turned by a hash: a block is on each side of half of its pairs, so
+    that no block, and no component, brings all its pairs to one task."""
+    turn = mix64((one ^ other).astype(np.uint64) + mix64((one + other).astype(np.uint64))) & np.uint64(1)
+    return np.where(turn, other, one), np.where(turn, one, other)
+
+
 def _dense_counts(members: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
     """``node, linked`` (rows linked, its own copies and itself included) among all members of
     a cell, and ``u, v``, components that a link joins.
@@ -329,8 +337,9 @@ def _dense_counts(members: DataFrame, threshold: float, block: int) -> tuple[Dat
                 if batch.column(0)[k].as_py():
                     ok &= one[:, None] <= other
                 i, j = np.nonzero(ok)
+                left, right = _sides(one[i], other[j])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[i]), pa.array(other[j]),
+                    [pa.array(left), pa.array(right),
                      pa.array((apart + radii)[i, j] <= reach - 1e-6)],
                     ["i", "j", "whole"],
                 )

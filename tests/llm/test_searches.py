@@ -7,6 +7,7 @@ from lexmill.llm.decontamination import find_leaks, without_leaks
 from lexmill.llm.embedding_neardup import (
     _counted,
     _projected,
+    _sides,
     audit_recall,
     embedding_classes,
     projections,
@@ -207,6 +208,15 @@ def test_orders_meet_isolated_pairs(spark):
     assert projections(1_000_000, 0.98) >= 16
 
 
+def test_block_pairs_are_dealt_over_the_blocks():
+    i, j = np.triu_indices(300, 1)
+    left, right = _sides(256 * i, 256 * j)
+    assert {frozenset(p) for p in zip(left, right, strict=True)} == {
+        frozenset(p) for p in zip(256 * i, 256 * j, strict=True)
+    }
+    assert max(np.bincount(side // 256).max() for side in (left, right)) < 200
+
+
 def test_audit_judges_vectors_of_few_links_apart(spark):
     vectors = [[1.0, 0.0]] * 1 + [[0.0, 1.0]] * 1
     near = lambda v, e: [v[0] + e * v[1], v[1] + e * v[0]]
