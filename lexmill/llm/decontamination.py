@@ -2,10 +2,12 @@
 
 Texts become canonical tokens: numbers, units of measure and names turn into typed
 placeholders, other words are lower-cased, punctuation is dropped. A name is a capitalised
-word that opens no sentence. Windows of ``WINDOW``
+word that opens no sentence; the words of a name are one token, and a unit belongs to its
+number. Windows of ``WINDOW``
 tokens of the documents are hash-joined to those of the benchmark, so a question with other
 numbers or names still meets its source. Matched windows of one alignment of a document and
-an item are put together; the slots' values must then correspond one to one (equal values of
+an item are put together, and with them those of nearby alignments, as words put in or left
+out shift the rest; the slots' values must then correspond one to one (equal values of
 the item stand where equal values of the document stand), and a share of the item's windows
 must be covered.
 
@@ -23,6 +25,7 @@ not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,7 @@ from lexmill.llm.byte_words import (
     Words,
     bounded_batches,
     inside_rows,
+    mix64,
     shingles,
     words_of,
 )
@@ -57,7 +61,7 @@ UNITS = (
 ).split()
 
 _U64 = np.uint64
-_NUMBER, _UNIT, _NAME = _U64(11), _U64(12), _U64(13)
+_NUMBER, _NAME = _U64(11), _U64(13)
 _DOT_COMMA = np.zeros(256, bool)
 _DOT_COMMA[[44, 46]] = True
 _STOPS = np.zeros(256, bool)
@@ -108,8 +112,21 @@ def tokens_of(column) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
         opens[1:] = stops[begin[1:]] > stops[words.end[:-1]]
         opens[words.first[:-1][words.first[:-1] < len(tokens)]] = True
         name = capital & ~opens & ~number & ~unit
-        tokens[number], tokens[unit], tokens[name] = _NUMBER, _UNIT, _NAME
-        yield words, tokens, number | unit | name
+        tokens[number], tokens[name] = _NUMBER, _NAME
+        # a word of a name that goes on after one space or hyphen, and a unit, are no tokens
+        gap = data[words.end[:-1]]
+        more = np.zeros(len(tokens), bool)
+        more[1:] = name[1:] & name[:-1] & (begin[1:] == words.end[:-1] + 1) & ((gap == 32) | (gap == 45))
+        values = words.hashes.copy()
+        for k in np.flatnonzero(more):  # the value of a name is that of all its words
+            values[k] = mix64(values[k - 1 : k] * _U64(3) + values[k : k + 1])[0]
+        ends = np.flatnonzero(name & ~np.append(more[1:], False))
+        heads = np.flatnonzero(name & ~more)
+        values[heads] = values[ends]
+        keep = ~more & ~unit
+        first = np.concatenate([[0], np.cumsum(keep)])[words.first]
+        words = words._replace(first=first, hashes=values[keep], begin=begin[keep], end=words.end[keep])
+        yield words, tokens[keep], (number | name)[keep]
 
 
 def _windows(words, tokens, slot, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +180,49 @@ def _window_rows(texts: DataFrame, sizes, keys=None) -> DataFrame:
     return texts.mapInArrow(run, _FIELDS)
 
 
+def best_union(alignments: list[dict]) -> int:
+    """Most windows of an item that alignments of nearby shifts hold together, with values of
+    slots that correspond one to one."""
+
+    def added(there: dict, back: dict, slots: list[dict]) -> tuple[dict, dict] | None:
+        there, back = dict(there), dict(back)
+        for slot in slots:
+            x, y = slot["x"], slot["y"]
+            if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
+                return None
+        return there, back
+
+    ready = [(a["shift"], set(a["places"]), a["slots"]) for a in alignments]
+    ready = sorted((a for a in ready if added({}, {}, a[2])), key=lambda a: a[0])
+    every = set().union(*(a[1] for a in ready)) if ready else set()
+    # as far as an item is long
+    reach = max(every, default=0) - min(every, default=0) + WINDOW
+    shifts = [a[0] for a in ready]
+    best = 0
+    for anchor in sorted(ready, key=lambda a: -len(a[1])):
+        low, high = bisect_left(shifts, anchor[0] - reach), bisect_right(shifts, anchor[0] + reach)
+        known, places = added({}, {}, anchor[2]), set(anchor[1])
+        for other in sorted(ready[low:high], key=lambda a: (abs(a[0] - anchor[0]), a[0])):
+            if other[1] <= places:
+                continue
+            more = added(*known, other[2])
+            if more:
+                known = more
+                places |= other[1]
+        best = max(best, len(places))
+        if best == len(every):
+            break
+    return best
+
+
+def _best_unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        windows = [best_union(row.as_py()) for row in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], pa.array(windows, pa.int64())], ["doc_id", "item_id", "windows"]
+        )
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -205,16 +265,14 @@ def find_leaks(
     )
     # an alignment has at most the windows of its item
     aligned = joined.groupBy("doc_id", "item_id", "shift").agg(
-        F.countDistinct("item_place").alias("windows"),
+        F.collect_set("item_place").alias("places"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    ones = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
-    consistent = (ones("x") == F.size("slots")) & (ones("y") == F.size("slots"))
-    best = (
-        aligned.filter(consistent)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("windows").alias("windows"))
+    # as many alignments as the document has tokens at most
+    pairs = aligned.groupBy("doc_id", "item_id").agg(
+        F.collect_list(F.struct("shift", "places", "slots")).alias("alignments")
     )
+    best = pairs.mapInArrow(_best_unions, "doc_id long, item_id long, windows long").filter("windows > 0")
     measured = best.join(totals, best["item_id"].eqNullSafe(totals["id"])).withColumn(
         "cover", F.col("windows") / F.col("total")
     )

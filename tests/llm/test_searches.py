@@ -91,6 +91,21 @@ def test_leaks(spark, most):
     assert sorted({r.doc_id for r in without_leaks(docs, got).collect()}) == [3, 5, 6, 7, 9]
 
 
+def test_leaks_with_words_put_in(spark):
+    long = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    words = long.split()
+    ask = "a slow train to Paris needs about 5 hours for the way back home"
+    items = spark.createDataFrame([(1, long), (2, ask)], "item_id long, text string")
+    texts = [
+        (1, " ".join([*words[:20], "really", *words[20:]])), (2, " ".join(words[:19] + words[20:])),
+        (3, ask.replace("Paris", "New York")), (4, ask.replace("5 hours", "5")),
+        (5, " ".join([*words[:10], *["x"] * 300, *words[30:]])),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.windows for r in find_leaks(docs, items).collect()}
+    assert got == {(1, 1): 26, (2, 1): 25, (3, 2): 6, (4, 2): 6}
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
