@@ -17,7 +17,9 @@ benchmark is joined by the shuffle alone, with the same results.
 
 Defined cases: null and empty texts have no windows and match nothing; an item shorter than
 ``WINDOW`` is one window of its own length, and one of fewer than ``LEAST_TOKENS`` tokens
-matches nothing; windows with fewer than half literal words are not used; items of equal
+matches nothing; windows with fewer than half literal words count by their literal words
+only, in which all windows are compared as well; a name that opens a window also counts as a
+literal word, since the text before it decides whether it opens a sentence; items of equal
 text are reported each; repeated documents are reported once per id; documents and items
 with a null id are reported with it; empty tables give an empty result; other columns are
 not read.
@@ -89,12 +91,12 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def tokens_of(column) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
-    """(words, canonical token hashes, whether the token is a placeholder)."""
+def tokens_of(column) -> Iterator[tuple[Words, np.ndarray, np.ndarray, Words]]:
+    """(words, canonical token hashes, whether the token is a placeholder, literal words)."""
     for words in words_of(column, PUNCTUATED, _inner_points):
         tokens = words.hashes.copy()
         if not len(tokens):
-            yield words, tokens, np.zeros(0, bool)
+            yield words, tokens, np.zeros(0, bool), words
             continue
         data, begin = words.data, words.begin
         number = DIGIT[data[begin]]
@@ -125,57 +127,77 @@ def tokens_of(column) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
         values[heads] = values[ends]
         keep = ~more & ~unit
         first = np.concatenate([[0], np.cumsum(keep)])[words.first]
+        literal = words
         words = words._replace(first=first, hashes=values[keep], begin=begin[keep], end=words.end[keep])
-        yield words, tokens[keep], (number | name)[keep]
+        yield words, tokens[keep], (number | name)[keep], literal
 
 
-def _windows(words, tokens, slot, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start positions, hashes) of the windows of ``size`` tokens with enough literals."""
-    keys = shingles(tokens, size)
-    if not len(keys):
-        return np.zeros(0, np.int64), keys
-    filled = np.concatenate([[0], np.cumsum(slot)])
-    ok = inside_rows(words.first, size) & (2 * (filled[size:] - filled[:-size]) <= size)
-    at = np.flatnonzero(ok)
-    return at, keys[at]
+_TEMPLATE, _LITERAL = 0, 1
 
 
-_FIELDS = "id long, size int, place long, key long, slots array<long>"
+def _windows(words, tokens, slot, literal, size: int, strict: bool):
+    """(kind, row, place, hashes, slots inside) of the windows of ``size`` tokens: templates
+    with enough literal words, those again with a name at their head taken literally, and
+    literal words. ``strict``: the second only where the first is used."""
+    span = np.arange(size)
+    keys = shingles(tokens, size)
+    if len(keys):
+        filled = np.concatenate([[0], np.cumsum(slot)])
+        filled = filled[size:] - filled[:-size]
+        whole = inside_rows(words.first, size)
+        at = np.flatnonzero(whole & (2 * filled <= size))
+        yield _TEMPLATE, words, at, keys[at], slot[at[:, None] + span]
+        named = whole & slot[: len(keys)] & (tokens[: len(keys)] == _NAME)
+        at = np.flatnonzero(named & (2 * (filled if strict else filled - 1) <= size))
+        if len(at):
+            parts = tokens[at[:, None] + span]
+            parts[:, 0] = words.hashes[at]
+            inside = slot[at[:, None] + span]
+            inside[:, 0] = False
+            # each window as a row of its own
+            yield _TEMPLATE, words, at, shingles(parts.ravel(), size)[::size], inside
+    keys = shingles(literal.hashes, size)
+    if len(keys):
+        at = np.flatnonzero(inside_rows(literal.first, size))
+        found = mix64(keys[at] + _U64(0x9E3779B97F4A7C15))
+        yield _LITERAL, literal, at, found, np.zeros((len(at), size), bool)
+
+
+_FIELDS = "id long, kind int, size int, place long, key long, slots array<long>"
 
 
 def _window_rows(texts: DataFrame, sizes, keys=None) -> DataFrame:
-    """``id, size, place`` (token number), ``key`` and the values of the window's slots.
+    """``id, kind, size, place`` (token number), ``key`` and the values of the window's slots.
     ``sizes``: fixed sizes, or None for ``WINDOW`` or the whole of a shorter text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if keys is None else np.frombuffer(keys.value, _U64)
         for batch in batches:
             ids = batch.column(0)
-            for words, tokens, slot in tokens_of(batch.column(1)):
-                counts = np.diff(words.first)
+            for parts in tokens_of(batch.column(1)):
                 for size in sizes or range(LEAST_TOKENS, WINDOW + 1):
-                    at, found = _windows(words, tokens, slot, size)
-                    row = np.searchsorted(words.first, at, side="right") - 1
-                    if sizes is None and size < WINDOW:
-                        ok = counts[row] == size
-                        at, found, row = at[ok], found[ok], row[ok]
-                    if known is not None:
-                        place = np.searchsorted(known, found)
-                        ok = known[np.minimum(place, len(known) - 1)] == found
-                        at, found, row = at[ok], found[ok], row[ok]
-                    if not len(at):
-                        continue
-                    inside = slot[at[:, None] + np.arange(size)]
-                    values = words.hashes[(at[:, None] + np.arange(size))[inside]].view(np.int64)
-                    ends = np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(words.start + row)),
-                         pa.array(np.full(len(at), size, np.int32)),
-                         pa.array(at - words.first[row]),
-                         pa.array(found.view(np.int64)),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                        ["id", "size", "place", "key", "slots"],
-                    )
+                    for kind, words, at, found, inside in _windows(*parts, size, sizes is None):
+                        row = np.searchsorted(words.first, at, side="right") - 1
+                        ok = np.ones(len(at), bool)
+                        if sizes is None and size < WINDOW:
+                            ok = np.diff(words.first)[row] == size
+                        if known is not None:
+                            place = np.searchsorted(known, found)
+                            ok &= known[np.minimum(place, len(known) - 1)] == found
+                        at, found, row, inside = at[ok], found[ok], row[ok], inside[ok]
+                        if not len(at):
+                            continue
+                        values = words.hashes[(at[:, None] + np.arange(size))[inside]].view(np.int64)
+                        ends = np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(words.start + row)),
+                             pa.array(np.full(len(at), kind, np.int32)),
+                             pa.array(np.full(len(at), size, np.int32)),
+                             pa.array(at - words.first[row]),
+                             pa.array(found.view(np.int64)),
+                             pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                            ["id", "kind", "size", "place", "key", "slots"],
+                        )
 
     return texts.mapInArrow(run, _FIELDS)
 
@@ -217,9 +239,10 @@ def best_union(alignments: list[dict]) -> int:
 
 def _best_unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        windows = [best_union(row.as_py()) for row in batch.column(2)]
+        windows = [best_union(row.as_py()) for row in batch.column(3)]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(windows, pa.int64())], ["doc_id", "item_id", "windows"]
+            [*batch.columns[:3], pa.array(windows, pa.int64())],
+            ["doc_id", "item_id", "kind", "windows"],
         )
 
 
@@ -246,12 +269,13 @@ def find_leaks(
         keys = spark.sparkContext.broadcast(found.tobytes())  # 8 bytes each
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, windows long, cover double")
-    totals = items.groupBy("id").agg(F.countDistinct("place").alias("total"))
+    totals = items.groupBy("id", F.col("kind").alias("of")).agg(F.countDistinct("place").alias("total"))
     theirs = items.select(
-        "key", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
+        "key", "kind", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
         F.col("slots").alias("item_slots"),
     )
     mine = _window_rows(one(docs, doc_id), sizes, keys).withColumnRenamed("id", "doc_id")
+    mine = mine.drop("kind")
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("slots")),
         lambda i: F.struct(
@@ -259,25 +283,29 @@ def find_leaks(
         ),
     )
     joined = mine.join(theirs, "key").select(
-        "doc_id", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
+        "doc_id", "item_id", "kind", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.when(F.size("slots") > 0, pairs).otherwise(F.array().cast("array<struct<x:long,y:long>>"))
         .alias("slots"),
     )
     # an alignment has at most the windows of its item
-    aligned = joined.groupBy("doc_id", "item_id", "shift").agg(
+    aligned = joined.groupBy("doc_id", "item_id", "kind", "shift").agg(
         F.collect_set("item_place").alias("places"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     # as many alignments as the document has tokens at most
-    pairs = aligned.groupBy("doc_id", "item_id").agg(
+    pairs = aligned.groupBy("doc_id", "item_id", "kind").agg(
         F.collect_list(F.struct("shift", "places", "slots")).alias("alignments")
     )
-    best = pairs.mapInArrow(_best_unions, "doc_id long, item_id long, windows long").filter("windows > 0")
-    measured = best.join(totals, best["item_id"].eqNullSafe(totals["id"])).withColumn(
-        "cover", F.col("windows") / F.col("total")
-    )
-    return measured.filter(F.col("cover") >= least_cover).select(
-        "doc_id", "item_id", "windows", "cover"
+    best = pairs.mapInArrow(_best_unions, "doc_id long, item_id long, kind int, windows long")
+    best = best.filter("windows > 0")
+    same = best["item_id"].eqNullSafe(totals["id"]) & (best["kind"] == totals["of"])
+    measured = best.join(totals, same).withColumn("cover", F.col("windows") / F.col("total"))
+    # the better of templates and literal words
+    return (
+        measured.filter(F.col("cover") >= least_cover)
+        .groupBy("doc_id", "item_id")
+        .agg(F.max(F.struct("cover", "windows")).alias("best"))
+        .select("doc_id", "item_id", "best.windows", "best.cover")
     )
 
 

@@ -106,6 +106,17 @@ def test_leaks_with_words_put_in(spark):
     assert got == {(1, 1): 26, (2, 1): 25, (3, 2): 6, (4, 2): 6}
 
 
+def test_leaks_without_literal_words(spark):
+    texts = ["The Old Man And The Grey Sea Of Long Ago", "12 + 34 * 56 = 1916 and 7 - 3 = 4",
+             "Anna Berg, Carl Dahl, Eva Falk, Georg Holm, Ines Jung", "Apples are red 5 times here"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, f"it is said, {t} and so on") for i, t in enumerate(texts)]
+    rows.append((4, "it is said, Apples are red 8 times here"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()}
+    assert got == {(i, i) for i in range(4)} | {(4, 3)}
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
