@@ -6,7 +6,9 @@ every ``length // STEP_SHARE`` words of a text, so that some window holds all bu
 share of a template standing anywhere. A window's ``ROWS * BANDS`` minima over its shingles
 of ``SHINGLE`` words make band keys; a template with an equal band key is a candidate, and
 matches if the window around, widened by a step on both sides, holds at least
-``CONTAINMENT`` of its shingles.
+``CONTAINMENT`` of its shingles. Those that tell the template from similar ones of other
+licenses, and those with a number, must all be there: a version or a "NonCommercial" is a small
+part of a notice but decides.
 
 A window over a template at the worst offset has a Jaccard similarity of about
 ``1 - 2 / STEP_SHARE`` or more, at which one of ``BANDS`` bands of ``ROWS`` rows agrees with
@@ -33,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import PUNCTUATED, inside_rows, mix64, shingles, words_of
+from lexmill.llm.byte_words import DIGIT, PUNCTUATED, inside_rows, mix64, shingles, words_of
 
 SHINGLE = 3
 BANDS, ROWS = 24, 2
 STEP_SHARE = 8
 CONTAINMENT = 0.8
+# share of a template's shingles in another's from which both are told apart
+SIMILAR = 0.7
 MOST_SHINGLES = 1 << 20
 LENGTHS = tuple(sorted({round(5 * 1.3**k) for k in range(30)}))
 
@@ -62,14 +66,41 @@ TEMPLATES = {
         "of the GNU General Public License as published by the Free Software Foundation, either "
         "version 3 of the License, or (at your option) any later version",
     ),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0",),
-    "CC-BY-4.0": (
-        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version",
     ),
-    "CC-BY-SA-4.0": (
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
-        "International License",
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version",
     ),
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version",
+    ),
+    **{
+        f"CC-{short}-4.0": (
+            f"Licensed under CC {short} 4.0",
+            f"This work is licensed under a Creative Commons {long} 4.0 International License",
+        )
+        for short, long in {
+            "BY": "Attribution",
+            "BY-SA": "Attribution-ShareAlike",
+            "BY-NC": "Attribution-NonCommercial",
+            "BY-ND": "Attribution-NoDerivatives",
+            "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+            "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+        }.items()
+    },
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met",
@@ -102,13 +133,16 @@ class TemplateIndex:
 
     def __init__(self, templates: dict[str, tuple[str, ...]]) -> None:
         self.names, self.sets, self.bands, self.lengths = [], [], {}, set()
-        total = 0
+        total, numbers = 0, []
         for name, texts in sorted(templates.items()):
             for text in texts:
-                words = next(words_of(pa.array([text]), PUNCTUATED)).hashes
+                whole = next(words_of(pa.array([text]), PUNCTUATED))
+                words, number = whole.hashes, DIGIT[whole.data[whole.begin]]
                 if len(words) < SHINGLE:
                     raise ValueError(f"a template of {name} has fewer than {SHINGLE} words")
-                found = np.unique(shingles(words, SHINGLE))
+                every = shingles(words, SHINGLE)
+                found = np.unique(every)
+                numbers.append(every[[number[i : i + SHINGLE].any() for i in range(len(every))]])
                 total += len(found)
                 if total > MOST_SHINGLES:
                     raise ValueError(f"the templates have more than {MOST_SHINGLES} shingles")
@@ -118,6 +152,13 @@ class TemplateIndex:
                 self.sets.append(found)
                 fitting = [x for x in LENGTHS if x >= len(words)]
                 self.lengths.add(fitting[0] if fitting else len(words))
+        self.needed = []
+        for name, found, needed in zip(self.names, self.sets, numbers, strict=True):
+            for other, theirs in zip(self.names, self.sets, strict=True):
+                shared = np.isin(found, theirs)
+                if other != name and shared.mean() >= SIMILAR:
+                    needed = np.concatenate([needed, found[~shared]])
+            self.needed.append(np.unique(needed))
         self.every = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, _U64)
 
     def matches(self, found: np.ndarray, hits: np.ndarray, least: float):
@@ -139,6 +180,8 @@ class TemplateIndex:
                             begin = max(0, a - step)
                             around = found[begin : a + wide + step]
                         inside = float(np.isin(self.sets[t], around).mean())
+                        if not np.isin(self.needed[t], around).all():
+                            continue
                         if inside >= least and inside > best.get(t, (0.0, 0))[0]:
                             where = np.flatnonzero(np.isin(around, self.sets[t]))[0]
                             best[t] = (inside, begin + int(where))

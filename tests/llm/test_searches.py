@@ -56,6 +56,20 @@ def test_changed_words_count(spark):
     assert [r.doc_id for r in got] == [1] and 0.8 <= got[0].containment < 1
 
 
+def test_similar_licenses_are_told_apart(spark):
+    texts = {
+        "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "CC-BY-SA-4.0": TEMPLATES["CC-BY-SA-4.0"][-1],
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+        "LGPL-3.0": TEMPLATES["GPL-3.0"][1].replace("GNU", "GNU Lesser"),
+        "none": TEMPLATES["MPL-2.0"][0].replace("v. 2.0", "v. 1.1"),
+    }
+    rows = [(i, f"some text before. {t}. And some after it.") for i, t in enumerate(texts.values())]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = list(texts)
+    assert sorted((names[r.doc_id], r.license) for r in got) == [(n, n) for n in sorted(texts) if n != "none"]
+
+
 # ---------------------------------------------------------------- decontamination
 
 ITEMS = [
