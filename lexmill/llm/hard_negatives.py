@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm.ranked import Best
 from lexmill.session import new_folder, numbered, written
 
 # Anchors broadcast at once.
@@ -150,23 +151,6 @@ def bounded_scores(tree, anchors, rows, low, high, allowed, found) -> int:
     return scored
 
 
-class Best:
-    """The best ``k`` rows of numbered lists: higher scores first, then smaller ids."""
-
-    def __init__(self, lists: int, k: int) -> None:
-        self.k = k
-        self.ids = [np.zeros(0, np.int64)] * lists
-        self.scores = [np.zeros(0, np.int64)] * lists
-
-    def add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> int | None:
-        """Take rows in; the lowest score of a full list."""
-        ids = np.concatenate([self.ids[i], ids])
-        scores = np.concatenate([self.scores[i], scores])
-        keep = np.lexsort((ids, -scores))[: self.k]
-        self.ids[i], self.scores[i] = ids[keep], scores[keep]
-        return int(scores[keep[-1]]) if len(keep) == self.k else None
-
-
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     """Vectors as integer rows, filled up with zeros."""
     values = column.flatten().to_numpy(zero_copy_only=False)
@@ -210,13 +194,9 @@ def _positives(shared, width: int, k: int):
 
                 other = lambda nodes, near=near: own[nodes, None] != near[None, :]
                 bounded_scores(tree, anchors, rows[at], low, high, other, found)
-        sizes = [len(x) for x in best.ids]
+        anchor, found_ids, scores = best.rows()
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.arange(len(own)), sizes).astype(np.int32)),
-                pa.array(np.concatenate([*best.ids, np.zeros(0, np.int64)])),
-                pa.array(np.concatenate([*best.scores, np.zeros(0, np.int64)])),
-            ],
+            [pa.array(anchor.astype(np.int32)), pa.array(found_ids), pa.array(scores)],
             ["anchor", "id", "score"],
         )
 

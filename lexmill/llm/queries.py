@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +11,10 @@ from lexmill.llm.embedding_neardup import embedding_classes
 from lexmill.llm.hard_negatives import mine_hard_negatives
 from lexmill.llm.jaccard_join import jaccard_classes
 from lexmill.llm.language_id import fuse_languages, markup_language, page_text, train_languages
+from lexmill.llm.lexical_search import search_documents
 from lexmill.llm.license_scan import scan_licenses
 from lexmill.llm.mixing import mix_sources
+from lexmill.llm.packing import pack_pieces, token_pieces
 from lexmill.llm.quality_cnn import score_quality, train_quality
 from lexmill.llm.toxicity import score_toxicity, train_toxicity
 from lexmill.llm.url_filter import judge_urls, url_host
@@ -115,6 +118,18 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = token_pieces(
+        _table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack_pieces(digests)
+
+
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search_documents(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -127,6 +142,8 @@ QUERIES = {
     "op9_quality_cnn": op9_quality_cnn,
     "op10_warc_archive": op10_warc_archive,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
@@ -253,5 +270,36 @@ SELECT p.anchor_id, positive_id,
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
   AND 80 * positive_score <= 100 * score AND score <= positive_score
 QUALIFY rank <= 5
+""",
+    "op13_lexical_search": r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS MATERIALIZED (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY ALL),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // terms) AS m FROM n, total),
+tf AS MATERIALIZED (
+  SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+weight AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE)
+    / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM tf, total GROUP BY t),
+scores AS (
+  SELECT item_id, doc_id,
+    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN weight USING (t) JOIN m USING (doc_id)
+  GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id
+    ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 20
 """,
 }
