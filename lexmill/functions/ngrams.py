@@ -76,58 +76,3 @@ def char_ngrams(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 WORD_BLOCK = "word"
 CHAR_BLOCK = "char"
 BLOCKS = (WORD_BLOCK, CHAR_BLOCK)
-# A row of this block stands for the document itself.
-NO_BLOCK = ""
-
-
-def block_ngrams(
-    df: DataFrame, text_col: str, keep: list[str], ngram_max: int, mark: bool = False
-) -> DataFrame:
-    """Word and character n-grams in one pass: ``keep``, ``block``, ``n``, ``term``.
-
-    One pass, because two branches over the same texts would clean and shuffle them
-    twice. ``mark`` adds one empty term of no block per document.
-    """
-    low, high = fv.CHAR_NGRAM_RANGE
-    text = F.col(text_col)
-
-    def block(name, pieces):
-        return F.struct(F.lit(name).alias("block"), pieces.alias("pieces"))
-
-    lists = [block(WORD_BLOCK, word_tokens(text)), block(CHAR_BLOCK, spaced_words(text))]
-    if mark:
-        lists.append(block(NO_BLOCK, F.array(F.lit(""))))
-    blocks = df.select(*keep, F.explode(F.array(*lists)).alias("_b")).select(
-        *keep, "_b.block", "_b.pieces"
-    )
-    size = F.size("pieces")
-    starts = blocks.select(
-        *keep,
-        "block",
-        "pieces",
-        F.explode(F.when(size > 0, F.sequence(F.lit(1), size))).alias("_at"),
-    )
-    is_char = F.col("block") == CHAR_BLOCK
-    word = F.element_at("pieces", F.col("_at"))
-    placed = starts.select(
-        *keep,
-        "block",
-        F.when(is_char, F.concat(F.lit(" "), word, F.lit(" "))).alias("_word"),
-        F.when(is_char, F.length(word) + 2).otherwise(F.lit(0)).alias("_len"),
-        F.when(~is_char, F.slice("pieces", F.col("_at"), F.lit(ngram_max))).alias("_words"),
-    )
-    first = F.when(is_char, low).otherwise(1)
-    last = F.when(
-        is_char, F.greatest(F.lit(low), F.least(F.lit(high), F.col("_len")))
-    ).otherwise(F.size("_words"))
-    sized = placed.select(
-        *keep, "block", "_word", "_len", "_words", F.explode(F.sequence(first, last)).alias("n")
-    )
-    stops = F.when(is_char, F.greatest(F.col("_len") - F.col("n") + 1, F.lit(1))).otherwise(1)
-    cut = sized.select(
-        *keep, "block", "_word", "_words", "n", F.explode(F.sequence(F.lit(1), stops)).alias("_at")
-    )
-    term = F.when(is_char, F.substring(F.col("_word"), F.col("_at"), F.col("n"))).otherwise(
-        F.array_join(F.slice("_words", F.lit(1), F.col("n")), " ")
-    )
-    return cut.select(*keep, "block", "n", _never_null(term).alias("term"))

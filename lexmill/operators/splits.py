@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from lexmill.operators.select import shuffled_order
 from lexmill.session import measured
 
-# A label's rows are cut into this many hash ranges (three hex digits).
-_RANGE_DIGITS = 3
+# Hex digits of the hash that a step of the search descends (4,096 ranges).
+_STEP_DIGITS = 3
+_HASH_DIGITS = 32
+# Rows of a range that are put in order in one task.
+RANKED_ROWS = 65_536
 
 
 def _quota(counts: DataFrame, rows: str, share: float, out: str) -> DataFrame:
@@ -49,32 +52,48 @@ def stratified_split(
     test_share: float = 0.1,
     val_share: float = 1 / 9,
     seed: int = 42,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """Add a ``split`` column: test, validation and train with exact sizes per label.
 
     Within a label rows go in a repeatable random order, the first to test, the next to
-    validation. Only the two cut points of each label are searched: counts per hash
-    range show in which range a cut falls, and just those ranges are ranked. The rows
+    validation. Only the two cut points of each label are searched, by their digits: counts
+    per hash range show in which range a cut falls, and only such a range is counted by its
+    next digits, until it has ``ranked_rows`` rows at most and is ranked. The rows
     themselves are then compared with their label's cuts, so no wide row is shuffled and
     a label holding most of the table is no hot spot. Rows without a label get no split.
     """
     order = shuffled_order(id_col, seed)
     narrow = df.select(
         F.col(label_col).alias("label"), F.col(id_col).alias("_id"), order.alias("_hash")
-    ).withColumn("_range", F.substring("_hash", 1, _RANGE_DIGITS))
+    )
     quotas = measured(split_quotas(df, label_col, test_share, val_share))
-    ranges = narrow.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("label").orderBy("_range"))
     cut = F.explode(F.array(F.col("n_test"), F.col("n_test") + F.col("n_val"))).alias("_cut")
-    cuts = quotas.select("label", cut).filter("_cut > 0").distinct()
-    holding = (
-        ranges.withColumn("_upto", upto)
-        .withColumn("_from", F.col("_upto") - F.col("_n"))
-        .join(cuts, "label")
-        .filter((F.col("_from") < F.col("_cut")) & (F.col("_cut") <= F.col("_upto")))
-        .select("label", "_range", "_from", "_cut")
+    cuts = measured(quotas.select("label", cut).filter("_cut > 0").distinct())
+    digits = 0
+    holding = measured(
+        quotas.select(
+            "label", F.lit("").alias("_range"), F.lit(0).cast("long").alias("_from"), "n"
+        ).join(cuts, "label")
     )
-    holding = measured(holding)
+    while digits < _HASH_DIGITS and (holding.agg(F.max("n")).first()[0] or 0) > ranked_rows:
+        above = holding.select("label", F.col("_range").alias("_above"), "_from").distinct()
+        # ranges of a step: 4,096 per label and cut
+        ranges = (
+            narrow.withColumn("_above", F.substring("_hash", 1, digits))
+            .join(measured(above), ["label", "_above"])
+            .groupBy("label", "_above", "_from", F.substring("_hash", 1, digits + _STEP_DIGITS).alias("_range"))
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        upto = F.sum("n").over(Window.partitionBy("label", "_above").orderBy("_range"))
+        holding = measured(
+            ranges.withColumn("_from", F.col("_from") + upto - F.col("n"))
+            .join(cuts, "label")
+            .filter((F.col("_from") < F.col("_cut")) & (F.col("_cut") <= F.col("_from") + F.col("n")))
+            .select("label", "_range", "_from", "n", "_cut")
+        )
+        digits += _STEP_DIGITS
+    narrow = narrow.withColumn("_range", F.substring("_hash", 1, digits))
     spans = measured(holding.select("label", "_range", "_from").distinct())
     place = F.row_number().over(Window.partitionBy("label", "_range").orderBy("_hash", "_id"))
     ranked = narrow.join(spans, ["label", "_range"]).withColumn(

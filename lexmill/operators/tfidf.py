@@ -1,30 +1,60 @@
-"""TF-IDF over a word block and a character block, as long tables.
-
-Rows of one document stay together: the texts are hash-partitioned by document once,
-and every per-document step after that (counting, weighting, normalising, packing)
-reuses the partitioning. The only other shuffle is the vocabulary count, which is
-combined map-side first, so a term found in every document is no hot key.
+"""TF-IDF over a word block and a character block.
+
+A document's n-grams are counted in the task that reads it and never leave it as rows: a text is
+neither shuffled nor expanded. What is shuffled is the vocabulary count, a row per term and run of
+documents. Most terms of a corpus occur in one document only; a first pass marks hashed terms as
+seen once or seen again in two bit arrays of fixed size, and a term that is not marked as seen again
+is dropped where it is found. Collisions only keep more, so the counts stay exact. The frozen
+vocabulary is as large as its caps allow; it is sent to every worker as sorted hashes, and weighing,
+normalising and packing are one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import VectorUDT
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from lexmill import fixed_values as fv
+from lexmill.functions.grams import (
+    Grams,
+    Pieces,
+    cut_strings,
+    document_grams,
+    run_hashes,
+    runs_of_rows,
+)
 from lexmill.functions.ngrams import (
     BLOCKS,
     CHAR_BLOCK,
-    NO_BLOCK,
     WORD_BLOCK,
-    block_ngrams,
+    spaced_words,
+    word_tokens,
 )
-from lexmill.session import broadcast_if_small, new_folder, numbered, task_count, written
+from lexmill.session import broadcast_if_small, numbered, spread, written
+
+# Bits of each of the two arrays that mark terms as seen once and seen again (4 MB an array).
+FILTER_BITS = 1 << 25
+# Parts in which tasks send them (64 kB).
+_FILTER_PART = 1 << 16
+# Terms of a vocabulary sent to every worker at once (200 MB).
+MAPPED_TERMS = 8_000_000
+# Bytes of words whose terms are counted together inside a task.
+_RUN_BYTES = 1 << 20
+_COUNTS = "block string, n int, term string, df long, tf long"
 
 
 @dataclass(frozen=True)
@@ -50,38 +80,221 @@ class TfidfConfig:
         return self.sublinear_tf if block == WORD_BLOCK else True
 
 
-def by_document(df: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
-    """Hash-partition the documents by id (``keys[0]``), once, for all later work."""
-    return df.select(*keys, *columns).repartition(task_count(df.sparkSession), F.col(keys[0]))
+# --- counting --------------------------------------------------------------------------
 
 
-def term_counts(
+def _tokenized(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """``keys`` and the document's words of both blocks.
+
+    A file with fewer splits than cores is spread over them first; larger tables stay where
+    they are read.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = spread(df.select(*keys, text.alias("_text")))
+    return rows.select(
+        *keys,
+        word_tokens(F.col("_text")).alias("_words"),
+        spaced_words(F.col("_text")).alias("_pieces"),
+    )
+
+
+def _documents(batch: pa.RecordBatch, most: int) -> Iterator[tuple[range, list[list[Grams]]]]:
+    """Runs of rows with the blocks of each document; the last two columns are the words."""
+    words = Pieces.of(batch.column(batch.num_columns - 2))
+    pieces = Pieces.of(batch.column(batch.num_columns - 1))
+    for rows in runs_of_rows(batch.num_rows, words, _RUN_BYTES):
+        yield rows, [document_grams(words, pieces, row, most) for row in rows]
+
+
+def _marker(most: int, least: Sequence[int]):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, again = np.zeros(FILTER_BITS, bool), np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for _, documents in _documents(batch, most):
+                for blocks in documents:
+                    for grams, low in zip(blocks, least, strict=True):
+                        if low > 1:
+                            # a cell twice in one document is one document
+                            cells = np.unique(grams.hashes % np.uint64(FILTER_BITS))
+                            again[cells] |= once[cells]
+                            once[cells] = True
+        for i in range(0, FILTER_BITS, _FILTER_PART * 8):
+            part = slice(i, i + _FILTER_PART * 8)
+            if once[part].any():
+                packed = [np.packbits(x[part]).tobytes() for x in (once, again)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), *(pa.array([p], pa.binary()) for p in packed)],
+                    ["part", "once", "again"],
+                )
+
+    return mark
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    once = again = None
+    for a, b in zip(table.column("once"), table.column("again"), strict=True):
+        a, b = (np.frombuffer(x.as_buffer(), np.uint8) for x in (a, b))
+        if once is None:
+            once, again = a, b
+        else:
+            again = again | b | (once & a)
+            once = once | a
+    return pa.table(
+        {
+            "part": table.column("part").slice(0, 1),
+            "once": pa.array([once.tobytes()], pa.binary()),
+            "again": pa.array([again.tobytes()], pa.binary()),
+        }
+    )
+
+
+def seen_again(tokens: DataFrame, most: int, least: Sequence[int]) -> np.ndarray | None:
+    """Marks of the hashed terms that may be in two documents or more; None if all are wanted."""
+    if max(least) < 2:
+        return None
+    schema = "part int, once binary, again binary"
+    # an array per task: no more tasks than run at once
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    marks = tokens.coalesce(cores).mapInArrow(_marker(most, least), schema)
+    lanes = max(1, int(cores**0.5))
+    marks = marks.withColumn("lane", F.pmod(F.xxhash64("once"), F.lit(lanes)))
+    marks = marks.groupBy("part", "lane").applyInArrow(_merged, schema)
+    marks = marks.groupBy("part").applyInArrow(_merged, schema)
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in marks.select("part", "again").collect():  # FILTER_BITS at most
+        bits[r["part"] // 8 :][:_FILTER_PART] = np.frombuffer(r["again"], np.uint8)
+    return bits
+
+
+def _wanted(hashes: np.ndarray, bits: np.ndarray | None, low: int) -> np.ndarray:
+    if bits is None or low < 2:
+        return np.ones(len(hashes), bool)
+    cells = (hashes % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _summer(shared, most: int, least: Sequence[int]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for _, documents in _documents(batch, most):
+                for code, block in enumerate(BLOCKS):
+                    hashes, counts, sizes, begins, ends, layouts = [], [], [], [], [], []
+                    base = 0
+                    for blocks in documents:
+                        grams = blocks[code]
+                        own, first, times = np.unique(
+                            grams.hashes, return_index=True, return_counts=True
+                        )
+                        keep = _wanted(own, bits, least[code])
+                        first = first[keep]
+                        hashes.append(own[keep])
+                        counts.append(times[keep])
+                        sizes.append(grams.sizes[first])
+                        begins.append(grams.begin[first] + base)
+                        ends.append(grams.end[first] + base)
+                        layouts.append(grams.data)
+                        base += len(grams.data)
+                    hashes, counts, sizes, begins, ends, layout = map(
+                        np.concatenate, (hashes, counts, sizes, begins, ends, layouts)
+                    )
+                    if not len(hashes):
+                        continue
+                    order = np.argsort(hashes, kind="stable")
+                    starts = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+                    first = order[starts]
+                    df = np.diff(np.append(starts, len(order)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([block]).take(pa.array(np.zeros(len(df), np.int32))),
+                            pa.array(sizes[first]),
+                            cut_strings(layout, begins[first], ends[first]),
+                            pa.array(df.astype(np.int64)),
+                            pa.array(np.add.reduceat(counts[order], starts).astype(np.int64)),
+                        ],
+                        ["block", "n", "term", "df", "tf"],
+                    )
+
+    return count
+
+
+def term_stats(
     df: DataFrame,
     ngram_max: int = fv.NGRAM_MAX,
-    keys: Sequence[str] = ("doc_id",),
     text_col: str = "text",
-    mark: bool = False,
+    least: Sequence[int] = (1, 1),
 ) -> DataFrame:
-    """Term counts per document: ``keys, block, n, term, tf``.
+    """Document and corpus count per term: ``block, n, term, df, tf``.
 
-    ``keys`` is the document id followed by any columns to carry along (a label, a
-    split). The texts are shuffled once, by document; counting needs no other shuffle.
-    ``mark`` adds a row of no block for every document.
+    ``least`` is the lowest document count wanted of a word and of a character term; terms below
+    it may be left out, most of them before any shuffle.
     """
-    keys = list(keys)
-    docs = by_document(df, keys, text_col)
-    grams = block_ngrams(docs, text_col, keys, ngram_max, mark)
-    return grams.groupBy(*keys, "block", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = _tokenized(df, [], text_col)
+    bits = seen_again(tokens, ngram_max, least)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    counted = tokens.mapInArrow(_summer(shared, ngram_max, least), _COUNTS)
+    stats = counted.groupBy("block", "n", "term").agg(
+        F.sum("df").alias("df"), F.sum("tf").alias("tf")
+    )
+    low = F.when(F.col("block") == WORD_BLOCK, least[0]).otherwise(least[1])
+    return stats if max(least) < 2 else stats.filter(F.col("df") >= low)
+
+
+def _lister(most: int, names: list[str]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.columns[:-2]
+            for at, documents in _documents(batch, most):
+                for code, block in enumerate(BLOCKS):
+                    lists = [(row, blocks[code]) for row, blocks in zip(at, documents, strict=True)]
+                    found = [np.unique(g.hashes, return_index=True, return_counts=True) for _, g in lists]
+                    count = [len(own) for own, _, _ in found]
+                    if not sum(count):
+                        continue
+                    same = pa.array(np.repeat([row for row, _ in lists], count))
+                    pick = lambda name: np.concatenate(
+                        [getattr(g, name)[first] for (_, g), (_, first, _) in zip(lists, found, strict=True)]
+                    )
+                    base = np.cumsum([0, *(len(g.data) for _, g in lists)])[:-1]
+                    shift = np.repeat(base, count)
+                    layout = np.concatenate([g.data for _, g in lists])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(k.take(same) for k in keys),
+                            pa.array([block]).take(pa.array(np.zeros(len(shift), np.int32))),
+                            pa.array(pick("sizes")),
+                            cut_strings(layout, pick("begin") + shift, pick("end") + shift),
+                            pa.array(np.concatenate([times for _, _, times in found]).astype(np.int64)),
+                        ],
+                        names,
+                    )
+
+    return rows
+
+
+def _schema(df: DataFrame, keys: Sequence[str], *added: StructField) -> StructType:
+    return StructType([df.schema[k] for k in keys] + list(added))
 
 
-def term_stats(counts: DataFrame) -> DataFrame:
-    """Document and corpus count per term: ``block, n, term, df, tf``."""
-    terms = counts.filter(F.col("block") != NO_BLOCK)
-    return terms.groupBy("block", "n", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")
+def term_counts(
+    df: DataFrame,
+    ngram_max: int = fv.NGRAM_MAX,
+    keys: Sequence[str] = ("doc_id",),
+    text_col: str = "text",
+) -> DataFrame:
+    """Term counts per document as rows: ``keys, block, n, term, tf``."""
+    schema = _schema(
+        df, keys, StructField("block", StringType()), StructField("n", IntegerType()),
+        StructField("term", StringType()), StructField("tf", LongType()),
+    )
+    return _tokenized(df, keys, text_col).mapInArrow(
+        _lister(ngram_max, schema.fieldNames()), schema
     )
 
 
+# --- vocabulary ------------------------------------------------------------------------
+
+
 def prune_terms(stats: DataFrame, n_docs: int, min_df: int, max_df: float) -> DataFrame:
     """Keep terms found in at least ``min_df`` and at most a ``max_df`` share of documents."""
     high = max_df * n_docs
@@ -115,143 +328,200 @@ def smooth_idf(df_col: Column, n_docs: int) -> Column:
     return F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + df_col)) + F.lit(1.0)
 
 
-def vocabulary(stats: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
-    """The frozen vocabulary: ``block, term, df, tf, idf, idx``.
+def numbered_terms(terms: DataFrame, n_docs: int) -> DataFrame:
+    """Add ``idf`` and ``idx``, the word block first, by term; written, so that Catalyst knows
+    its true size."""
+    idf = smooth_idf(F.col("df"), n_docs)
+    coded = terms.withColumns({"idf": idf, "_code": F.when(F.col("block") == WORD_BLOCK, 0).otherwise(1)})
+    both = numbered(coded, [F.col("_code"), F.col("term")], "idx")
+    return written(both.withColumn("idx", F.col("idx") - 1).drop("_code"), "vocabulary")
 
-    ``idx`` numbers the terms, word block first, by term; only the capped vocabulary is
-    ever numbered, never the corpus. The result is written out, which tells Catalyst its
-    true size for the joins that follow.
-    """
+
+def vocabulary(stats: DataFrame, n_docs: int, cfg: TfidfConfig) -> DataFrame:
+    """The frozen vocabulary: ``block, term, df, tf, idf, idx``; only it is ever numbered,
+    never the corpus."""
     parts = []
-    for code, block in enumerate(BLOCKS):
+    for block in BLOCKS:
         min_df, max_df, max_features = cfg.limits(block)
         terms = stats.filter(F.col("block") == block)
         if block == WORD_BLOCK:
             terms = terms.filter(F.col("n") <= cfg.ngram_max)
         terms = cap_terms(prune_terms(terms, n_docs, min_df, max_df), max_features)
-        idf = smooth_idf(F.col("df"), n_docs).alias("idf")
-        parts.append(terms.select(F.lit(code).alias("_code"), "block", "term", "df", "tf", idf))
-    both = numbered(parts[0].unionByName(parts[1]), [F.col("_code"), F.col("term")], "idx")
-    return written(both.withColumn("idx", F.col("idx") - 1).drop("_code"), "vocabulary")
-
-
-def raw_weights(
-    counts: DataFrame, vocab: DataFrame, cfg: TfidfConfig, keys: Sequence[str]
-) -> DataFrame:
-    """Unnormalised weights of known terms: ``keys, block, term, idx, weight``."""
-    tf = F.col("tf").cast("double")
-    word = F.lit(1.0) + F.log(tf) if cfg.sublinear(WORD_BLOCK) else tf
-    char = F.lit(1.0) + F.log(tf) if cfg.sublinear(CHAR_BLOCK) else tf
-    scaled = F.when(F.col("block") == WORD_BLOCK, word).otherwise(char)
-    terms = broadcast_if_small(vocab.select("block", "term", "idf", "idx"))
-    return counts.join(terms, ["block", "term"]).select(
-        *keys, "block", "term", "idx", (scaled * F.col("idf")).alias("weight")
+        parts.append(terms.select("block", "term", "df", "tf"))
+    return numbered_terms(parts[0].unionByName(parts[1]), n_docs).select(
+        "block", "term", "df", "tf", "idf", "idx"
     )
 
 
-def tfidf_union(
-    counts: DataFrame, vocab: DataFrame, cfg: TfidfConfig, keys: Sequence[str] = ("doc_id",)
-) -> DataFrame:
-    """Both blocks, each of unit length per document: ``keys, block, term, idx, weight``."""
-    rows = raw_weights(counts, vocab, cfg, keys)
-    block = Window.partitionBy(*keys, "block")
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(block))
-    return rows.withColumn("weight", F.col("weight") / length)
-
-
-def fit_vocabulary(
-    df: DataFrame, cfg: TfidfConfig, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def fit_vocabulary(df: DataFrame, cfg: TfidfConfig, text_col: str = "text") -> DataFrame:
     """Count, prune, cap and number the terms of a document table."""
-    counts = term_counts(df, cfg.ngram_max, [id_col], text_col)
-    # written after the limit that any block has, so that n-grams are expanded once
-    least = min(cfg.limits(b)[0] for b in BLOCKS)
-    stats = written(term_stats(counts).filter(F.col("df") >= least), "stats")
+    least = [cfg.limits(b)[0] for b in BLOCKS]
+    stats = written(term_stats(df, cfg.ngram_max, text_col, least), "stats")
     return vocabulary(stats, df.count(), cfg)
 
 
-def tfidf_transform(
+# --- weights ---------------------------------------------------------------------------
+
+
+@dataclass
+class Terms:
+    """A vocabulary as a worker looks it up: hashes in order, with number and IDF."""
+
+    hashes: np.ndarray
+    idx: np.ndarray
+    idf: np.ndarray
+    size: int
+    # per term the variants that hold it, as bits; None: one variant with all terms
+    variants: np.ndarray | None = None
+
+
+def mapped_terms(vocab: DataFrame, variants: str | None = None) -> Terms:
+    """Collect a vocabulary, which its caps bound, as arrays."""
+    columns = ["block", "term", "idf", "idx"] + ([variants] if variants else [])
+    table = vocab.select(*columns).toArrow()
+    word = np.array(table.column("block").to_numpy(zero_copy_only=False) == WORD_BLOCK, bool)
+    text = table.column("term").combine_chunks().cast(pa.large_string())
+    if isinstance(text, pa.ChunkedArray):
+        text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.large_string())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset :][: len(text) + 1]
+    body = text.buffers()[2]
+    data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+    hashes = np.zeros(len(text), np.uint64)
+    for code, own in enumerate((word, ~word)):
+        at = np.flatnonzero(own)
+        # running sums per slice, so that powers of the base stay few
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            low, high = (ends[part[0]], ends[part[-1] + 1]) if len(part) else (0, 0)
+            hashes[part] = run_hashes(
+                data[low:high], ends[part] - low, ends[part + 1] - low, code
+            )
+    order = np.argsort(hashes)
+    pick = lambda name, kind: table.column(name).to_numpy().astype(kind)[order]
+    return Terms(
+        hashes[order], pick("idx", np.int32), pick("idf", np.float64), len(order),
+        pick(variants, np.int64) if variants else None,
+    )
+
+
+def _weights(grams: Grams, terms: Terms, sublinear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the vocabulary, numbers and raw weights of a document's known terms."""
+    own, times = np.unique(grams.hashes, return_counts=True)
+    at = np.searchsorted(terms.hashes, own)
+    at[at == terms.size] = 0
+    known = terms.hashes[at] == own if terms.size else np.zeros(len(own), bool)
+    at, tf = at[known], times[known].astype(float)
+    weight = ((1.0 + np.log(tf)) if sublinear else tf) * terms.idf[at]
+    order = np.argsort(terms.idx[at])
+    return at[order], terms.idx[at][order], weight[order]
+
+
+def _lists(parts: list[np.ndarray], empty: np.ndarray) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([empty, *parts])))
+
+
+def _packer(shared, cfg: TfidfConfig, names: list[str]):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        for batch in batches:
+            keys = batch.columns[:-2]
+            for at, documents in _documents(batch, cfg.ngram_max):
+                indices, values = [], []
+                for blocks in documents:
+                    numbers, weights = [], []
+                    for block, grams in zip(BLOCKS, blocks, strict=True):
+                        _, number, weight = _weights(grams, terms, cfg.sublinear(block))
+                        length = np.sqrt((weight * weight).sum())
+                        numbers.append(number)
+                        weights.append(weight / length if length else weight)
+                    indices.append(np.concatenate(numbers))
+                    values.append(np.concatenate(weights))
+                same = pa.array(np.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(k.take(same) for k in keys),
+                        _lists(indices, np.zeros(0, np.int32)),
+                        _lists(values, np.zeros(0)),
+                    ],
+                    names,
+                )
+
+    return pack
+
+
+def packed_documents(
     df: DataFrame,
     vocab: DataFrame,
     cfg: TfidfConfig,
     keys: Sequence[str] = ("doc_id",),
     text_col: str = "text",
 ) -> DataFrame:
-    """Weigh new text with a frozen vocabulary; unknown terms are ignored."""
-    return tfidf_union(term_counts(df, cfg.ngram_max, keys, text_col), vocab, cfg, keys)
+    """One row per document: ``keys, indices, values``, both blocks, unit length each, in one
+    pass with a frozen vocabulary; unknown terms are ignored. Documents without a known term
+    stay, with empty lists."""
+    schema = _schema(
+        df, keys, StructField("indices", ArrayType(IntegerType())),
+        StructField("values", ArrayType(DoubleType())),
+    )
+    if vocab.count() > MAPPED_TERMS:
+        return _packed_by_join(df, vocab, cfg, keys, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(mapped_terms(vocab))
+    return _tokenized(df, keys, text_col).mapInArrow(
+        _packer(shared, cfg, schema.fieldNames()), schema
+    )
 
 
-def pack(
-    counts: DataFrame, vocab: DataFrame, cfg: TfidfConfig, keys: Sequence[str] = ("doc_id",)
-) -> DataFrame:
-    """One row per document: ``keys, indices, values``, both blocks, unit length each.
-
-    ``counts`` must be marked: the mark meets an entry of index -1 and weight 0, so that
-    documents without a known term stay. No shuffle beyond the one of the counts.
-    """
-    entry = counts.sparkSession.range(1).select(
-        F.lit(NO_BLOCK).alias("block"),
-        F.lit("").alias("term"),
-        F.lit(0.0).alias("idf"),
-        F.lit(-1).alias("idx"),
+def _packed_by_join(df, vocab, cfg, keys, text_col) -> DataFrame:
+    """The same by joins, for vocabularies too large to send."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    counts = term_counts(rows, cfg.ngram_max, ["_row"], text_col)
+    weighed = tfidf_union(counts, vocab, cfg, ["_row"])
+    lists = weighed.groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_e")
     )
-    known = vocab.select("block", "term", "idf", "idx").unionByName(entry)
-    weight, is_word = F.col("weight"), F.col("block") == WORD_BLOCK
-
-    def length(mask):
-        return F.sqrt(F.sum(F.when(mask, weight * weight)))
-
-    packed = (
-        raw_weights(counts, known, cfg, keys)
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("idx", "weight", is_word.alias("word")))).alias(
-                "_entries"
-            ),
-            length(is_word).alias("_word_length"),
-            length(F.col("block") == CHAR_BLOCK).alias("_char_length"),
-        )
-        # the mark is the first entry
-        .withColumn("_entries", F.slice("_entries", F.lit(2), F.size("_entries")))
+    return rows.select("_row", *keys).join(lists, "_row", "left").select(
+        *keys,
+        F.coalesce("_e.idx", F.array().cast("array<int>")).alias("indices"),
+        F.coalesce("_e.weight", F.array().cast("array<double>")).alias("values"),
     )
-    scaled = F.transform(
-        "_entries",
-        lambda e: e["weight"]
-        / F.when(e["word"], F.col("_word_length")).otherwise(F.col("_char_length")),
+
+
+def tfidf_union(
+    counts: DataFrame, vocab: DataFrame, cfg: TfidfConfig, keys: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """Weights from given counts, each block of unit length per document:
+    ``keys, block, term, idx, weight``. ``keys`` must tell documents apart."""
+    tf = F.col("tf").cast("double")
+    scaled = tf
+    for block in BLOCKS:
+        if cfg.sublinear(block):
+            scaled = F.when(F.col("block") == block, F.lit(1.0) + F.log(tf)).otherwise(scaled)
+    terms = broadcast_if_small(vocab.select("block", "term", "idf", "idx"))
+    rows = counts.join(terms, ["block", "term"]).select(
+        *keys, "block", "term", "idx", (scaled * F.col("idf")).alias("weight")
     )
-    return packed.select(
-        *keys, F.col("_entries.idx").alias("indices"), scaled.alias("values")
+    block = Window.partitionBy(*keys, "block")
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(block))
+    return rows.withColumn("weight", F.col("weight") / length)
+
+
+def entries(packed: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Packed documents as rows: ``keys, idx, weight``."""
+    pairs = F.arrays_zip("indices", "values")
+    return packed.select(*keys, F.explode(pairs).alias("_e")).select(
+        *keys, F.col("_e.indices").alias("idx"), F.col("_e.values").alias("weight")
     )
 
 
-def packed_documents(
+def tfidf_transform(
     df: DataFrame,
     vocab: DataFrame,
     cfg: TfidfConfig,
     keys: Sequence[str] = ("doc_id",),
     text_col: str = "text",
 ) -> DataFrame:
-    """Pack documents straight from their text, with a frozen vocabulary."""
-    counts = term_counts(df, cfg.ngram_max, keys, text_col, mark=True)
-    return pack(counts, vocab, cfg, keys)
-
-
-def stored_vectors(packed: DataFrame, size: int) -> DataFrame:
-    """Write packed documents as sparse ML vectors: the packed columns plus ``features``.
-
-    The stored form of a sparse vector is written and read back under the vector type,
-    so no row passes through Python.
-    """
-    path = new_folder(packed.sparkSession, "vectors")
-    rest = [f for f in packed.schema.fields if f.name not in ("indices", "values")]
-    packed.select(
-        *(f.name for f in rest),
-        F.struct(
-            F.lit(0).cast("tinyint").alias("type"),
-            F.lit(size).alias("size"),
-            F.col("indices"),
-            F.col("values"),
-        ).alias("features"),
-    ).write.parquet(path)
-    schema = StructType([*rest, StructField("features", VectorUDT())])
-    return packed.sparkSession.read.schema(schema).parquet(path)
+    """Weigh new text with a frozen vocabulary as rows: ``keys, block, term, idx, weight``."""
+    rows = entries(packed_documents(df, vocab, cfg, keys, text_col), keys)
+    names = broadcast_if_small(vocab.select("idx", "block", "term"))
+    return rows.join(names, "idx").select(*keys, "block", "term", "idx", "weight")

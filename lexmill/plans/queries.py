@@ -20,7 +20,7 @@ from lexmill.operators.classifier import (
     predict_flat,
     tune,
 )
-from lexmill.session import new_folder, spread, written
+from lexmill.session import new_folder, spread, task_count, written
 from lexmill.sources import tables
 from lexmill.sources.bundle import load_bundle, save_bundle
 
@@ -97,7 +97,7 @@ def clustered_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 CONFIG = tfidf.TfidfConfig()
 TOPIC_LIMITS = {"head": 4, "min_count": 45, "tail": 3}
 # all defaults but those that follow the size of the tables
-SETTINGS = Settings(trials=2, min_bucket_size=30, n_clusters=3, threads=6)
+SETTINGS = Settings(min_bucket_size=30, n_clusters=3)
 
 
 # --- flagship ------------------------------------------------------------------------
@@ -496,15 +496,21 @@ def _gram_digest(grams: DataFrame) -> DataFrame:
     )
 
 
+def _by_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts dealt by document once, which the digests reuse."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    return docs.repartition(task_count(spark), "doc_id")
+
+
 @query
 def word_ngrams_(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tfidf.by_document(documents(spark, sf), ["doc_id"], "text")
+    docs = _by_document(spark, sf)
     return _gram_digest(word_ngrams(docs, "text", ["doc_id"], 2))
 
 
 @query
 def char_ngrams_(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tfidf.by_document(documents(spark, sf), ["doc_id"], "text")
+    docs = _by_document(spark, sf)
     return _gram_digest(char_ngrams(docs, "text", ["doc_id"]))
 
 
@@ -512,7 +518,9 @@ def char_ngrams_(spark: SparkSession, sf: str) -> DataFrame:
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of all terms that pass the document frequency limits."""
     docs = documents(spark, sf)
-    stats, rows = written(tfidf.term_stats(tfidf.term_counts(docs)), "stats"), docs.count()
+    least = [CONFIG.limits(block)[0] for block in tfidf.BLOCKS]
+    stats = written(tfidf.term_stats(docs, CONFIG.ngram_max, least=least), "stats")
+    rows = docs.count()
     parts = []
     for block in tfidf.BLOCKS:
         min_df, max_df, _ = CONFIG.limits(block)

@@ -71,7 +71,9 @@ def measured(df: DataFrame) -> DataFrame:
     return cached
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+def numbered(
+    df: DataFrame, order: list[Column], name: str = "number", kind: str = "int"
+) -> DataFrame:
     """Rows with their number, from 1, in a total order, without one task for all rows.
 
     Rows are range-sorted and written with their range's number; a row per range says how
@@ -90,7 +92,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFr
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (
         ranged.join(F.broadcast(starts), "_range")
-        .withColumn(name, (F.col("_before") + place).cast("int"))
+        .withColumn(name, (F.col("_before") + place).cast(kind))
         .drop("_range", "_before")
     )
 
@@ -119,7 +121,7 @@ def task_count(spark: SparkSession) -> int:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a *scan* over the cluster when it has fewer splits than cores.
 
     A file with a single row group is read by one task however large the cluster
@@ -128,4 +130,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
-    return df.repartition(task_count(spark), F.col(key))
+    return df.repartition(task_count(spark), *([F.col(key)] if key else []))

@@ -81,11 +81,88 @@ def test_packed_equals_rows_and_keeps_empty_documents(docs):
         assert sum(w * w for w in entries.values()) == pytest.approx(2 if entries else 0, abs=1)
 
 
-def test_counting_shuffles_each_text_once(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counts = tfidf.term_counts(docs)
-    plan = counts._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+def test_texts_are_not_shuffled(spark, tmp_path, docs):
+    """A table with enough splits is counted and weighed where it is read."""
+    path = str(tmp_path / "docs")
+    docs.withColumn("label", F.lit("a")).repartition(8).write.parquet(path)
+    table = spark.read.parquet(path).repartition(8, "doc_id")
+    table.write.mode("append").parquet(path + "2")
+    table = spark.read.option("maxPartitionNum", 64).parquet(path + "2")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a split per file
+    try:
+        vocab = tfidf.fit_vocabulary(table, CFG)
+        frames = [
+            tfidf.packed_documents(table, vocab, CFG),
+            tfidf.tfidf_transform(table, vocab, CFG),
+            tfidf.term_counts(table),
+        ]
+        for frame in frames:
+            plan = frame._jdf.queryExecution().optimizedPlan().toString()
+            assert "Repartition" not in plan and "Aggregate" not in plan
+        stats = tfidf.term_stats(table, least=(2, 2))._jdf.queryExecution().optimizedPlan()
+        assert stats.toString().count("Repartition") == 0
+        assert stats.toString().index("Aggregate") < stats.toString().index("MapInArrow")
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+ODD = [
+    "", " ", None, "é ÀÉÎ\u00a0x_1 日本語 \U0001f600😀 a", "aa aa aa bb", "Straße İstanbul ΣΑΣ",
+    "x" * 3000 + " tail", "a b c d e f g", "tab\tand\nline",
+]
+
+
+def test_counts_against_expanded_grams(spark):
+    """Counts inside the task equal those of the n-grams as rows."""
+    df = spark.createDataFrame(list(enumerate(ODD + TEXTS)), "doc_id int, text string")
+    got = {
+        (r["doc_id"], r["block"], r["n"], r["term"]): r["tf"]
+        for r in tfidf.term_counts(df, 3).collect()
+    }
+    grams = [
+        (block, rows)
+        for block, rows in (
+            ("word", word_ngrams(df, "text", ["doc_id"], 3)),
+            ("char", char_ngrams(df, "text", ["doc_id"])),
+        )
+    ]
+    expected = Counter(
+        (r["doc_id"], block, r["n"], r["term"]) for block, rows in grams for r in rows.collect()
+    )
+    assert got == expected
+    by_term = Counter()
+    docs = Counter()
+    for (_, block, n, term), tf in expected.items():
+        by_term[block, n, term] += tf
+        docs[block, n, term] += 1
+    for least in ((1, 1), (1, 2), (2, 2), (3, 2)):
+        stats = {
+            (r["block"], r["n"], r["term"]): (r["df"], r["tf"])
+            for r in tfidf.term_stats(df, 3, least=least).collect()
+        }
+        low = dict(zip(tfidf.BLOCKS, least, strict=True))
+        assert stats == {
+            k: (docs[k], by_term[k]) for k in by_term if docs[k] >= low[k[0]]
+        }
+
+
+def test_crowded_filter_keeps_all(spark, docs, monkeypatch):
+    """With one cell for all terms nothing is dropped early, and the counts are the same."""
+    whole = sorted(map(tuple, tfidf.term_stats(docs, 2, least=(2, 2)).collect()))
+    bits = np.full(tfidf.FILTER_BITS // 8, 255, np.uint8)
+    monkeypatch.setattr(tfidf, "seen_again", lambda *_: bits)
+    assert sorted(map(tuple, tfidf.term_stats(docs, 2, least=(2, 2)).collect())) == whole
+
+
+def test_large_vocabularies_are_joined(docs, monkeypatch):
+    vocab = tfidf.fit_vocabulary(docs, CFG)
+    rows = lambda: {
+        r["doc_id"]: (r["indices"], pytest.approx(r["values"]))
+        for r in tfidf.packed_documents(docs, vocab, CFG).collect()
+    }
+    sent = {k: (i, v.expected) for k, (i, v) in rows().items()}
+    monkeypatch.setattr(tfidf, "MAPPED_TERMS", 1)
+    assert rows() == sent
 
 
 def test_limits_that_exclude_each_other(docs):
@@ -107,31 +184,66 @@ def _brute_linkage(dist, k):
     return {frozenset(g) for g in groups}
 
 
-def test_merging_against_brute_force():
+def _distances(spark, dist):
+    names = [f"l{i:03d}" for i in range(len(dist))]
+    rows = [(a, b, float(dist[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return spark.createDataFrame(rows, "label_a string, label_b string, dist double")
+
+
+def _groups(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r["cluster"], set()).add(int(r["label"][1:]))
+    # numbered by their first member
+    firsts = [min(found[c]) for c in range(len(found))]
+    assert firsts == sorted(firsts)
+    return {frozenset(g) for g in found.values()}
+
+
+def test_merging_against_brute_force(spark):
     rng = np.random.default_rng(1)
     points = rng.random((14, 3))
     dist = np.linalg.norm(points[:, None] - points[None], axis=2)
+    merges = hierarchy._merge_in_memory(dist, np.ones(14), np.arange(14))
     for k in (1, 3, 6, 14):
-        numbers = hierarchy.merge_clusters(dist, k)
+        numbers = hierarchy._cut(merges, 14, k)
         got = {frozenset(np.flatnonzero(np.array(numbers) == c)) for c in set(numbers)}
         assert got == _brute_linkage(dist, k)
-        first = [numbers.index(c) for c in range(k)]
-        assert first == sorted(first)
-
-
-def test_distances_dense_and_joined(spark):
-    cells = [("a", 0, 1.0), ("a", 1, 1.0), ("b", 1, 2.0), ("c", 7, 1.0)]
+    table = _distances(spark, dist)
+    for k in (4,):
+        joined = _groups(hierarchy.agglomerate(table, k, most=1).collect())
+        assert joined == _brute_linkage(dist, k)
+    assert hierarchy.agglomerate(table.limit(0)).count() == 0
+    assert hierarchy.agglomerate(_distances(spark, dist[:1, :1])).collect() == [("l000", 0)]
+
+
+def test_equal_distances_merge_the_same_way(spark):
+    """Unrelated labels, all at distance 1, in memory and by joins."""
+    dist = np.ones((7, 7)) - np.eye(7)
+    dist[2, 5] = dist[5, 2] = 0.25
+    table = _distances(spark, dist)
+    whole = _groups(hierarchy.agglomerate(table, 3).collect())
+    assert whole == _groups(hierarchy.agglomerate(table, 3, most=3).collect())
+    assert any({2, 5} <= g for g in whole)
+
+
+def test_distances_by_tiles(spark):
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((11, 40)) < 0.4, rng.random((11, 40)), 0)
+    dense[6] = 0  # a label without terms
+    cells = [(f"l{a:02d}", int(i), float(w)) for a, row in enumerate(dense) for i, w in enumerate(row) if w]
     centroids = spark.createDataFrame(cells, "label string, idx int, weight double")
-    names = spark.createDataFrame([(x,) for x in "abcz"], "label string")
-    results = []
-    for limit in (2000, 1):
-        rows = hierarchy.centroid_distance(centroids, names, dense_labels=limit).collect()
-        assert len(rows) == 16
-        results.append({(r["label_a"], r["label_b"]): r["dist"] for r in rows})
-    assert results[0] == pytest.approx(results[1])
-    assert results[0]["a", "b"] == pytest.approx(1 - 1 / math.sqrt(2))
-    assert results[0]["a", "c"] == results[0]["z", "a"] == 1.0
-    assert results[0]["z", "z"] == results[0]["a", "a"] == 0.0
+    names = spark.createDataFrame([(f"l{a:02d}",) for a in range(11)], "label string")
+    length = np.linalg.norm(dense, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        expected = 1 - dense @ dense.T / np.outer(length, length)
+    expected = np.where(np.isfinite(expected), expected, 1.0)
+    np.fill_diagonal(expected, 0)
+    for tile, terms in ((256, 1 << 14), (4, 7)):
+        rows = hierarchy.centroid_distance(centroids, names, tile=tile, terms=terms).collect()
+        assert len(rows) == 121
+        got = {(int(r["label_a"][1:]), int(r["label_b"][1:])): r["dist"] for r in rows}
+        assert all(got[a, b] == pytest.approx(expected[a, b]) for a in range(11) for b in range(11))
 
 
 def test_rare_labels(spark):
@@ -188,7 +300,7 @@ def _weather_and_trains(spark):
 
 PARAMS = {"ngram_max": 1, "min_df": 1, "max_df": 0.95, "word_max_features": 500,
           "char_max_features": 500, "C": 1.0}
-SETTINGS = cl.Settings(trials=2, max_iter=8, min_bucket_size=20, n_clusters=2, threads=4)
+SETTINGS = cl.Settings(trials=2, min_bucket_size=20, n_clusters=2)
 
 
 @pytest.fixture(scope="module")
@@ -270,14 +382,53 @@ def test_bundle(spark, fitted, tmp_path):
     assert meta["params"] == PARAMS
     assert meta["metrics"]["test_macro_f1"] == 0.5
     again = load_bundle(spark, folder)
-    with pytest.raises(ValueError, match="another folder"):
-        save_bundle(again, folder, ["text"], "label")
     assert again.state.settings == SETTINGS
     before, after = (sorted(map(tuple, m.predict(df).collect())) for m in (model, again))
     assert before == after
     with pytest.raises(FileNotFoundError):
         load_bundle(spark, str(tmp_path / "nothing"))
-    (tmp_path / "b" / "labels").rename(tmp_path / "b" / "renamed")
+    # a model that reads from the bundle can be saved to it again
+    save_bundle(again, folder, ["text"], "label", dataset="second")
+    assert read_meta(spark, folder)["dataset"] == "second"
+
+
+def test_stopped_save_leaves_the_old_model(spark, fitted, tmp_path, monkeypatch):
+    df, model = fitted
+    folder = save_bundle(model, str(tmp_path / "b"), ["text"], "label", dataset="old")
+    writes = []
+
+    def stop(self, path, *args, **kwargs):
+        writes.append(path)
+        if len(writes) == 4:
+            raise OSError("the driver is gone")
+        return whole(self, path, *args, **kwargs)
+
+    from pyspark.sql import DataFrameWriter
+
+    whole = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", stop)
+    with pytest.raises(OSError, match="gone"):
+        save_bundle(model, folder, ["text"], "label", dataset="new")
+    monkeypatch.undo()
+    assert read_meta(spark, folder)["dataset"] == "old"
+    assert load_bundle(spark, folder).state.params == PARAMS
+    save_bundle(model, folder, ["text"], "label", dataset="newer")
+    assert read_meta(spark, folder)["dataset"] == "newer"
+
+
+def test_torn_versions_do_not_load(spark, fitted, tmp_path):
+    _, model = fitted
+    folder = save_bundle(model, str(tmp_path / "b"), ["text"], "label")
+    (version,) = (tmp_path / "b" / "versions").iterdir()
+    part = next((version / "labels").glob("*.parquet"))
+    kept = part.read_bytes()
+    part.with_name(f".{part.name}.crc").unlink()
+    part.write_bytes(kept[:-1] + bytes([kept[-1] ^ 1]))
+    with pytest.raises(ValueError, match="labels"):
+        load_bundle(spark, folder)
+    part.write_bytes(kept)
+    assert load_bundle(spark, folder).state.params == PARAMS
+    part.rename(tmp_path / "elsewhere")
     with pytest.raises(ValueError, match="labels"):
         load_bundle(spark, folder)
 
