@@ -16,10 +16,12 @@ from lexmill.operators.classifier import (
     Settings,
     TopicClassifier,
     TopicClassifierModel,
+    draws,
     fit_flat,
     predict_flat,
     tune,
 )
+from lexmill.operators.search import drawn_terms
 from lexmill.session import new_folder, spread, task_count, written
 from lexmill.sources import tables
 from lexmill.sources.bundle import load_bundle, save_bundle
@@ -752,6 +754,39 @@ def flat_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
     return predict_flat(held, coefficients, size, "doc_id", "lang", "split")
 
 
+@query
+def svm_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten classes on the first two components of the embeddings, to the last digits."""
+    rows = table(spark, sf, "embeddings").filter("label IS NOT NULL")
+    documents_ = rows.select(
+        F.col("label").cast("string").alias("label"),
+        F.array(F.lit(0), F.lit(1)).alias("indices"),
+        F.array(*(F.col("embedding")[i].cast("double") for i in (0, 1))).alias("values"),
+    )
+    exact = Settings(tol=1e-10)
+    coefficients = fit_flat(documents_, 2, fv.DEFAULT_C, "label", exact)
+    return coefficients.select("class", "idx", F.round("weight", 6).alias("weight"))
+
+
+@query
+def tune_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms that each draw of the search keeps."""
+    train = split_documents(spark, sf).filter("split = 'train'")
+    drawn = draws(SETTINGS)
+    stats = written(tfidf.term_stats(train, fv.SEARCH_NGRAM_MAX[1], least=(1, 2)), "stats")
+    terms = drawn_terms(stats, train.count(), drawn)
+    trial = F.explode(F.sequence(F.lit(0), F.lit(len(drawn) - 1))).alias("trial")
+    held = terms.select("*", trial).filter(F.expr("shiftright(draws, trial) & 1 = 1"))
+    return held.groupBy("trial", "block").agg(
+        F.count(F.lit(1)).alias("terms"),
+        F.sum("df").alias("sum_df"),
+        F.sum("tf").alias("sum_tf"),
+        F.sum(F.length("term")).alias("sum_chars"),
+        F.min("tf").alias("least_tf"),
+        F.max(F.when(F.col("block") == tfidf.WORD_BLOCK, F.col("n"))).alias("longest"),
+    )
+
+
 @query
 def tune_flat(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread_documents(spark, sf).select(
