@@ -60,6 +60,28 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written for one job, which deletes each when its last reader is done."""
+
+    def __init__(self) -> None:
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = new_folder(df.sparkSession, name)
+        df.write.parquet(path)
+        table = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of tables that nothing reads any more."""
+        for table in tables:
+            _, path = self._paths.pop(id(table))
+            jvm, context = table.sparkSession._jvm, table.sparkSession._jsc
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context.hadoopConfiguration()).delete(folder, True)
+
+
 def measured(df: DataFrame) -> DataFrame:
     """Cache an aggregated lookup and count it.
 
