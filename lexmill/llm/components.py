@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import written
+from lexmill.session import Scratch
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,9 +13,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Large-star and small-star steps in turn: every node is linked to the smallest node it
     knows. Each step takes a minimum per node, combined map-side, and joins it back, so no
-    node's neighbours are ever gathered. Every round is written, which ends the lineage.
+    node's neighbours are ever gathered. Every round is written, which ends the lineage, and the
+    round before it deleted. Without links, or with links of a node to itself only, the result is
+    empty; repeated links count once.
     """
-    edges = written(
+    scratch = Scratch()
+    edges = scratch.written(
         links.filter(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u"))
         .distinct(),
@@ -41,7 +44,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .filter("v != u")
             .distinct()
         )
-        edges = written(small, "edges")
+        last, edges = edges, scratch.written(small, "edges")
+        scratch.drop(last)
         state = edges.agg(
             F.count(F.lit(1)).alias("n"),
             F.bit_xor(F.xxhash64("v", "u")).alias("x"),

@@ -23,12 +23,16 @@ Steps, all but the last on distinct sets (``node``, a 64-bit key of the set):
 1. one pass counts every shingle's documents (40-bit keys, counted in numpy blocks) and gives
    each document its node; the ``MOST_LEVELS`` most frequent shingles get levels by their
    count in a hashed table of fixed size, which goes to the executors;
-2. one pass emits signatures; a signature's smallest node is its pivot, and each other node
-   is verified against its pivots. Node keys start with the share of frequent shingles, so
-   that the pivot is the least changed copy;
-3. sets of a signature that aren't connected yet are compared pair by pair, after bounds from
+2. one pass writes each set's signatures as one binary value. Most are of one set only: their
+   short keys are sorted, keys that occur again are marked in a bit array of fixed size, and only marked signatures become rows (a clash keeps more, never less). A signature's
+   smallest node is its pivot. Node keys start with the share of frequent shingles, so that
+   the pivot is the least changed copy;
+3. each set is verified against its least pivot only; of its other pivots those that are in
+   another component then are tried, so that a group of near copies costs an edge per set;
+4. sets of a signature that aren't connected yet are compared pair by pair, after bounds from
    sizes and from counts of 256 hash cells that never rule out a link;
-4. links are verified on whole sets; components are joined back to the documents.
+5. links are verified on whole sets; components are joined back to the documents. Tables are
+   deleted when nothing reads them any more.
 
 Nothing is capped or sampled: a wrong class or level costs time, never a link. Keys of 64 bits
 stand for sets and shingles; at 10**10 documents a clash of two sets is expected about twice.
@@ -51,7 +55,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.byte_words import bounded_batches, mix64, row_shingles, set_key, words_of
 from lexmill.llm.components import connected_components
-from lexmill.session import written
+from lexmill.session import Scratch, written
 
 # shingles with a level, and slots (a power of 2) of the table that holds the levels
 MOST_LEVELS = 1 << 22
@@ -65,6 +69,12 @@ PAIRS_FROM, TRIPLES_FROM = 1, 5
 # prefix shingles per cell
 PAIR_CELL, TRIPLE_CELL = 3, 5
 SKETCH_CELLS = 256
+# bits that mark signatures of two sets or more (32 MB), and further bits of a counted key
+MARK_BITS, KEY_BITS = 28, 10
+# sets that a task remembers, so that a copy's signatures aren't made again
+MOST_SEEN = 1 << 20
+# bytes of text, and signatures, that a counting task gets about
+COUNT_BYTES, MARK_KEYS = 32_000_000, 4_000_000
 
 _U64 = np.uint64
 
@@ -340,17 +350,27 @@ def _levels_of(hashes: np.ndarray, table: np.ndarray, blocks: int) -> np.ndarray
 
 
 def _signed_docs(docs: DataFrame, size: int, num: int, den: int, table, blocks: int) -> DataFrame:
-    """Two kinds of rows: ``sig, node, size`` for the signatures of each set that is new in
-    its task, and with null ``sig`` ``doc_id, node, n, sketch`` for each document.
-    ``size`` holds the set's size, a single shingle's place (18 bits, a later place counts as
-    the last), the size cell (13 bits) and the scheme (3 bits)."""
+    """``doc_id, node, n, text_key, sketch, sigs, kinds`` of each document. ``sigs`` holds the
+    signatures of a set that is new in its task, ``kinds`` the place (bits 3 and above, a later
+    place counts as the last) and the scheme of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # 64 bits for each document of the task
+        seen = set()
         for batch in batches:
-            ids = _column(batch, "doc_id")
-            nodes, ns, sketches = [], [], []
-            sigs, held = [], 0
+            at, held = 0, 0
+            nodes, ns, sketches, sigs, kinds = [], [], [], [], []
+
+            def rows(batch=batch):
+                part = batch.slice(at, len(ns))
+                return pa.RecordBatch.from_arrays(
+                    [
+                        _column(part, "doc_id"), pa.array(nodes, pa.int64()),
+                        pa.array(ns, pa.int64()), _column(part, "text_key"),
+                        *(pa.array(x, pa.binary()) for x in (sketches, sigs, kinds)),
+                    ],
+                    ["doc_id", "node", "n", "text_key", "sketch", "sigs", "kinds"],
+                )
+
             for words in words_of(_column(batch, "text")):
                 for _, hashes in row_shingles(words, size):
                     n = len(hashes)
@@ -361,41 +381,108 @@ def _signed_docs(docs: DataFrame, size: int, num: int, den: int, table, blocks:
                     # a different set links only if one shingle more or less allows it
                     alone = missing_at_most(n, num, den) == 0 and n * den < num * (n + 1)
                     if alone or node in seen:
-                        sketches.append(None)
+                        for x in (sketches, sigs, kinds):
+                            x.append(None)
                         continue
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
                     seen.add(node)
                     sketches.append(_sketch(hashes))
-                    sig, kinds = signatures(hashes, levels, num, den)
-                    places = np.minimum(kinds >> 3, MOST_PLACES - 1)
-                    sizes = (n << 34) + (places << 16) + (size_cell(n) << 3) + (kinds & 7)
-                    sigs.append((sig, np.full(len(sig), node), sizes))
+                    sig, kind = signatures(hashes, levels, num, den)
+                    place = np.minimum(kind >> 3, MOST_PLACES - 1)
+                    sigs.append(sig.tobytes())
+                    kinds.append(((place << 3) + (kind & 7)).astype(np.uint32).tobytes())
                     held += len(sig)
                 if held > 500_000:
-                    yield _signature_batch(sigs)
-                    sigs, held = [], 0
-            if sigs:
-                yield _signature_batch(sigs)
-            k = len(ns)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int64()), ids,
-                 pa.array(ns, pa.int64()), _column(batch, "text_key"), pa.array(sketches, pa.binary())],
-                ["sig", "node", "size", "doc_id", "n", "text_key", "sketch"],
-            )
+                    yield rows()
+                    at, held = at + len(ns), 0
+                    nodes, ns, sketches, sigs, kinds = [], [], [], [], []
+            if ns:
+                yield rows()
 
     return docs.mapInArrow(
         run,
-        "sig long, node long, size long, doc_id long, n long, text_key long, sketch binary",
+        "doc_id long, node long, n long, text_key long, sketch binary, sigs binary, kinds binary",
     )
 
 
-def _signature_batch(sigs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    sig, owner, size = (np.concatenate(parts) for parts in zip(*sigs, strict=True))
-    k = len(sig)
-    return pa.RecordBatch.from_arrays(
-        [_signed(sig), _signed(owner), pa.array(size), pa.nulls(k, pa.int64()),
-         pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
-        ["sig", "node", "size", "doc_id", "n", "text_key", "sketch"],
-    )
+def _mark_keys(sigs: np.ndarray, part_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part and key inside it of signatures. A key's first ``MARK_BITS`` bits are its mark."""
+    key = mix64(sigs) >> _U64(64 - MARK_BITS - KEY_BITS)
+    rest = _U64(MARK_BITS + KEY_BITS - part_bits)
+    return (key >> rest).astype(np.int32), (key & ((_U64(1) << rest) - _U64(1))).astype(np.uint64)
+
+
+def _shared_marks(signed: DataFrame, part_bits: int) -> np.ndarray:
+    """A bit per mark: whether a signature key under it is of two sets (or of a set that two
+    tasks met) or more."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(sigs.as_buffer(), _U64) for sigs in batch.column(0)]
+            part, key = _mark_keys(np.concatenate([np.zeros(0, _U64), *found]), part_bits)
+            order = np.argsort(part, kind="stable")
+            part, key = part[order], key[order].astype(np.uint32)
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            if len(starts):
+                cut = [p.tobytes() for p in np.split(key, starts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[starts]), pa.array(cut, pa.binary())], ["part", "keys"]
+                )
+
+    marks = 1 << (MARK_BITS - part_bits)
+
+    def shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        raw = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")]
+        value = np.sort(np.concatenate(raw))
+        again = value[1:][value[1:] == value[:-1]] >> np.uint32(KEY_BITS)
+        bits = np.zeros(marks, bool)
+        bits[again] = True
+        packed = np.packbits(bits).tobytes()
+        return pa.table(
+            {"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed], pa.binary())}
+        )
+
+    found = (
+        signed.filter("sigs is not null")
+        .select("sigs")
+        .mapInArrow(keys, "part int, keys binary")
+        .groupBy("part")
+        .applyInArrow(shared, "part int, bits binary")
+    )
+    bits = np.zeros((1 << MARK_BITS) // 8, np.uint8)
+    for r in found.collect():  # the bit array, once
+        bits[r["part"] * (marks // 8) :][: marks // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _entries(signed: DataFrame, marks) -> DataFrame:
+    """``sig, node, size`` of marked signatures. ``size`` holds the set's size, a single
+    shingle's place (18 bits), the size cell (13 bits) and the scheme (3 bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for batch in batches:
+            sigs, owners, sizes = [], [], []
+            for node, n, raw, kinds in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:],
+                strict=True,
+            ):
+                sig = np.frombuffer(raw.as_buffer(), _U64)
+                mark = (mix64(sig) >> _U64(64 - MARK_BITS)).astype(np.int64)
+                keep = (bits[mark >> 3] >> (7 - (mark & 7)).astype(np.uint8)) & 1 == 1
+                kind = np.frombuffer(kinds.as_buffer(), np.uint32)[keep].astype(np.int64)
+                sigs.append(sig[keep])
+                owners.append(np.full(len(kind), node, np.int64))
+                sizes.append((n << 34) + (kind >> 3 << 16) + (size_cell(n) << 3) + (kind & 7))
+            if sigs:
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(np.concatenate(sigs)), *(pa.array(np.concatenate(x)) for x in (owners, sizes))],
+                    ["sig", "node", "size"],
+                )
+
+    rows = signed.filter("sigs is not null").select("node", "n", "sigs", "kinds")
+    return rows.mapInArrow(run, "sig long, node long, size long")
 
 
 # ---------------------------------------------------------------- verification
@@ -515,12 +602,20 @@ def jaccard_classes(
         F.col(text).alias("text"),
         F.xxhash64(text).alias("text_key"),
     )
-    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch()
+    written = scratch.written
+    # as many blocks as the texts need
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes // COUNT_BYTES)
 
     frequent = written(_frequent(_counts(docs, size, blocks), RARE_BELOW), "levels")
     table = spark.sparkContext.broadcast(_level_table(frequent, MOST_LEVELS, LEVEL_SLOTS))
+    scratch.drop(frequent)
     signed = written(_signed_docs(docs, size, num, den, table, blocks), "signatures")
-    rows = signed.filter("sig is null").drop("sig", "size")
+    rows = written(signed.drop("sigs", "kinds"), "rows")
+    made = signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
+    part_bits = min(20, max(6, int(made // 8 // MARK_KEYS).bit_length()))
+    marks = spark.sparkContext.broadcast(_shared_marks(signed, part_bits))
     classes = written(
         rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes"
     )
@@ -547,7 +642,8 @@ def jaccard_classes(
         )
         return of_scheme & (F.least(n, m) * den >= F.greatest(n, m) * num)
 
-    entries = signed.filter("sig is not null").select("sig", "node", "size")
+    entries = written(_entries(signed, marks), "entries")
+    scratch.drop(signed)
     pivots = (
         entries.groupBy("sig")
         .agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("other"))
@@ -556,9 +652,9 @@ def jaccard_classes(
         .drop("other")
     )
     members = written(entries.join(pivots, "sig").distinct(), "members")
+    scratch.drop(entries)
 
     def verified(edges: DataFrame) -> DataFrame:
-        edges = written(edges, "edges")
         nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         sketches = (
             rows.filter("sketch is not null")
@@ -568,13 +664,42 @@ def jaccard_classes(
         )
         likely = written(_possible(edges, sketches, num, den), "likely")
         nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        sets = _sets_of(docs, classes.join(nodes, "node", "left_semi"), size, table, blocks)
-        return written(_verified(likely, written(sets, "sets"), num, den), "links")
-
-    stars = members.filter((F.col("node") != F.col("pivot")) & fits("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    links = verified(stars.distinct())
+        wanted = classes.join(nodes, "node", "left_semi")
+        sets = written(_sets_of(docs, wanted, size, table, blocks), "sets")
+        links = written(_verified(likely, sets, num, den), "links")
+        scratch.drop(likely, sets)
+        return links
+
+    stars = written(
+        members.filter((F.col("node") != F.col("pivot")) & fits("size", "pivot_size"))
+        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        .distinct(),
+        "stars",
+    )
+    # an edge per set; then the others that still join two components
+    least = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
+    links = verified(least)
     components = written(connected_components(links), "components")
 
+    def component(end: str):
+        return components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+
+    untried = written(
+        stars.join(least, ["a", "b"], "left_anti")
+        .join(component("a"), "a", "left")
+        .join(component("b"), "b", "left")
+        .filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b"))
+        .select("a", "b"),
+        "untried",
+    )
+    scratch.drop(stars, least)
+    others = verified(untried)
+    links = links.union(others)
+    if not others.isEmpty():
+        scratch.drop(components)
+        components = written(connected_components(links), "components")
+    scratch.drop(untried)
+
     placed = members.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
@@ -599,15 +724,19 @@ def jaccard_classes(
         .select("a", "b")
         .distinct()
     )
+    pairs = written(pairs, "pairs")
     more = verified(pairs)
     if not more.isEmpty():
+        scratch.drop(components)
         components = written(connected_components(links.union(more)), "components")
+    scratch.drop(members, rest, pairs)
 
     named = classes.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     firsts = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(named.join(firsts, "component").select("node", "component_id"), "named")
+    scratch.drop(classes, components)
     return (
         rows.select("doc_id", "node", "text_key", F.col("n").alias("n_shingles"))
         .join(named, "node", "left")
