@@ -2,8 +2,10 @@
 
 Texts become canonical tokens: numbers, units of measure and names turn into typed
 placeholders, other words are lower-cased, punctuation is dropped. A name is a capitalised
-word that opens no sentence; the words of a name are one token, and a unit belongs to its
-number. Windows of ``WINDOW``
+word that opens no sentence; the words of a name are one token. A unit belongs to its number,
+whose placeholder then is of the unit's kind (length, mass, time, ...): "5 km" stands where "12
+miles" stands, but not where "8 kg", "12%", "$5" or a bare number does. Numbers spelled in
+English are numbers too. Windows of ``WINDOW``
 tokens of the documents are hash-joined to those of the benchmark, so a question with other
 numbers or names still meets its source. Matched windows of one alignment of a document and
 an item are put together, and with them those of nearby alignments, as words put in or left
@@ -53,14 +55,31 @@ LEAST_TOKENS = 5
 MOST_KEYS = 1 << 21
 LEAST_COVER = 0.5
 
-UNITS = (
-    "mm cm m km in ft yd mi mg g kg lb oz t ml cl l gal s sec min h hr hrs ms day days week weeks "
-    "month months year years second seconds minute minutes hour hours meter meters metre metres "
-    "kilometer kilometers kilometre kilometres centimeter centimeters mile miles inch inches foot "
-    "feet yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre "
-    "litres gallon gallons dollar dollars euro euros cent cents usd eur gbp percent degree degrees "
-    "kmh mph hz khz mhz ghz kb mb gb tb w kw kwh v volt volts j kj cal kcal pa kpa bar"
+# words after a number, by kind of unit
+UNITS = {
+    "length": "mm cm m km in ft yd mi meter meters metre metres kilometer kilometers kilometre "
+    "kilometres centimeter centimeters mile miles inch inches foot feet yard yards",
+    "mass": "mg g kg lb oz t gram grams kilogram kilograms pound pounds ounce ounces",
+    "volume": "ml cl l gal liter liters litre litres gallon gallons",
+    "time": "s sec min h hr hrs ms day days week weeks month months year years second seconds "
+    "minute minutes hour hours",
+    "money": "dollar dollars euro euros cent cents usd eur gbp",
+    "share": "percent",
+    "angle": "degree degrees",
+    "speed": "kmh mph",
+    "frequency": "hz khz mhz ghz",
+    "data": "kb mb gb tb",
+    "power": "w kw",
+    "energy": "kwh wh j kj cal kcal",
+    "voltage": "v volt volts",
+    "pressure": "pa kpa bar",
+}
+# numbers in words; "one" is one only before a unit
+SPELLED = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
+    "sixteen seventeen eighteen nineteen twenty"
 ).split()
+SPELLED_TENS = "thirty forty fifty sixty seventy eighty ninety hundred".split()
 
 _U64 = np.uint64
 _NUMBER, _NAME = _U64(11), _U64(13)
@@ -83,12 +102,57 @@ def _inner_points(data: np.ndarray) -> np.ndarray:
     return found
 
 
-def _unit_hashes() -> np.ndarray:
-    words = next(words_of(pa.array([" ".join(UNITS)])))
-    return np.sort(words.hashes)
+def _hashes(words: list[str]) -> np.ndarray:
+    return next(words_of(pa.array([" ".join(words)]))).hashes
 
 
-_UNIT_HASHES = _unit_hashes()
+def _looked_up(words: list[str], values) -> tuple[np.ndarray, np.ndarray]:
+    hashes = _hashes(words)
+    order = np.argsort(hashes)
+    return hashes[order], np.asarray(values)[order]
+
+
+_KINDS = list(UNITS)
+_UNIT_HASHES, _UNIT_KINDS = _looked_up(
+    [w for words in UNITS.values() for w in words.split()],
+    [k + 1 for k, words in enumerate(UNITS.values()) for _ in words.split()],
+)
+_SPELLED_HASHES, _SPELLED_VALUES = _looked_up(
+    SPELLED + SPELLED_TENS, _hashes([str(i) for i in [*range(21), *range(30, 101, 10)]])
+)
+(_ONE,) = _hashes(["one"])
+_SHARE, _MONEY = _KINDS.index("share") + 1, _KINDS.index("money") + 1
+# a placeholder per kind; 0 is a bare number
+_NUMBERS = mix64(np.arange(len(_KINDS) + 1, dtype=_U64) + _NUMBER)
+
+
+def _found(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are known, and their places."""
+    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[place] == values, place
+
+
+def _signs(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(kind of the sign at each word, whether the word is a sign and a number): % after it, or a
+    sign of money on either side. Signs outside ASCII are part of their word."""
+    data = np.concatenate([words.data, np.zeros(4, np.uint8)])
+    begin, end = words.begin, words.end
+    row = np.searchsorted(words.row_begin, begin, side="right") - 1
+    low, high = words.row_begin[row], words.row_begin[row + 1]
+    money = ((begin > low) & (data[begin - 1] == ord("$"))) | ((end < high) & (data[end] == ord("$")))
+    number = np.zeros(len(begin), bool)
+    for code in ("€".encode(), "£".encode()):
+        n = len(code)
+        long = end - begin > n
+        head, tail = long.copy(), long.copy()
+        for i, c in enumerate(code):
+            head &= data[begin + np.minimum(i, end - begin)] == c
+            tail &= data[np.maximum(end - n + i, begin)] == c
+        head &= DIGIT[data[np.minimum(begin + n, len(data) - 1)]]
+        number |= head
+        money |= head | tail
+    share = (end < high) & (data[end] == ord("%"))
+    return np.where(share, _SHARE, np.where(money, _MONEY, 0)), number
 
 
 def tokens_of(column) -> Iterator[tuple[Words, np.ndarray, np.ndarray, Words]]:
@@ -99,12 +163,19 @@ def tokens_of(column) -> Iterator[tuple[Words, np.ndarray, np.ndarray, Words]]:
             yield words, tokens, np.zeros(0, bool), words
             continue
         data, begin = words.data, words.begin
-        number = DIGIT[data[begin]]
-        place = np.searchsorted(_UNIT_HASHES, tokens)
-        unit = _UNIT_HASHES[np.minimum(place, len(_UNIT_HASHES) - 1)] == tokens
-        # a unit is one only after a number
+        spelled, digits = _found(tokens, _SPELLED_HASHES)
+        signs, signed = _signs(words)
+        number = DIGIT[data[begin]] | signed | spelled
+        unit, named = _found(tokens, _UNIT_HASHES)
+        # a unit is one only after a number of its text
         unit[1:] &= number[:-1]
         unit[0] = False
+        unit[words.first[:-1][words.first[:-1] < len(tokens)]] = False
+        kind = np.where(number, signs, 0)
+        kind[:-1] = np.where(unit[1:], _UNIT_KINDS[named[1:]], kind[:-1])
+        number &= (tokens != _ONE) | (kind > 0)
+        unit[1:] &= number[:-1]
+        spelled &= number
         second = data[np.minimum(begin + 1, len(data) - 1)]
         capital = UPPER[data[begin]] | ((data[begin] == _C3) & (second >= 0x80) & (second <= 0x9E))
         # words in capitals throughout, and single letters, are no names
@@ -114,12 +185,13 @@ def tokens_of(column) -> Iterator[tuple[Words, np.ndarray, np.ndarray, Words]]:
         opens[1:] = stops[begin[1:]] > stops[words.end[:-1]]
         opens[words.first[:-1][words.first[:-1] < len(tokens)]] = True
         name = capital & ~opens & ~number & ~unit
-        tokens[number], tokens[name] = _NUMBER, _NAME
+        tokens[number], tokens[name] = _NUMBERS[kind[number]], _NAME
         # a word of a name that goes on after one space or hyphen, and a unit, are no tokens
         gap = data[words.end[:-1]]
         more = np.zeros(len(tokens), bool)
         more[1:] = name[1:] & name[:-1] & (begin[1:] == words.end[:-1] + 1) & ((gap == 32) | (gap == 45))
         values = words.hashes.copy()
+        values[spelled] = _SPELLED_VALUES[digits[spelled]]
         for k in np.flatnonzero(more):  # the value of a name is that of all its words
             values[k] = mix64(values[k - 1 : k] * _U64(3) + values[k : k + 1])[0]
         ends = np.flatnonzero(name & ~np.append(more[1:], False))
