@@ -7,8 +7,10 @@ compressed size reaches ``roll_bytes``. Headers and digests are made anew from t
 
 Commit: every attempt of a task writes under its own temporary names and returns a row per
 file; Spark's own commit keeps one attempt's rows. Those files are renamed to their final
-names by tasks that may safely run again, and last the manifest gets its final name: an
-archive without a manifest isn't finished. A task that is lost leaves only temporary names.
+names by tasks that may safely run again, the manifest gets a line per file with its name,
+records, bytes and digest, and last the totals get their final name: an archive without them
+isn't finished. A task that is lost leaves only temporary names. Reading compares the files with
+the manifest and fails if one is missing, cut, changed or not named by it.
 
 Of records with equal payloads that with the largest key is the response, others revisit it.
 
@@ -36,9 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.mixing import running_totals
-from lexmill.session import written
+from lexmill.session import broadcast_if_small, written
 
 MANIFEST = "MANIFEST.json"
+FILES = "MANIFEST.files.json"
+# payload, not compressed, that goes to one task
+SHARD_BYTES = 64 << 20
+_LINE = "name string, records long, bytes long, sha1 string"
 _FILES = "name string, temporary string, shard long, part int, records long, bytes long, sha1 string"
 _RECORDS = (
     "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
@@ -180,14 +186,13 @@ def write_archive(
     uri: str = "url",
     payload: str = "html",
     least_bytes: int = 0,
-    shard_bytes: int | None = None,
+    shard_bytes: int = SHARD_BYTES,
     roll_bytes: int = 128 << 20,
     date: str = "2024-01-01T00:00:00Z",
 ) -> DataFrame:
     """Write ``pages`` to a new ``folder``; returns the manifest: a row per file.
 
-    ``shard_bytes`` of payload, not compressed, go to one task. With None the payloads are cut
-    into two shards per shuffle partition, between 64 KiB and 256 MiB each.
+    ``shard_bytes`` of payload, not compressed, go to one task; there are as many tasks as shards.
     """
     spark = pages.sparkSession
     records = pages.select(
@@ -202,10 +207,6 @@ def write_archive(
         ),
         "sizes",
     )
-    if shard_bytes is None:
-        whole = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        shard_bytes = min(max(whole // (2 * tasks), 64 << 10), 256 << 20)
     order = [F.col("key").asc_nulls_first(), F.col("sha1")]
     starts = (
         running_totals(sizes, order, {"upto": "bytes"})
@@ -235,7 +236,7 @@ def write_archive(
         .withColumn("refers_to", F.lit(None).cast("long"))
         .unionByName(marks)
         .withColumn("shard", shard_of("key", "sha1"))
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+        .repartitionById(max(1, len(first.value)), F.col("shard").cast("int"))
         .sortWithinPartitions(
             "shard", F.col("key").asc_nulls_first(), "sha1", F.col("payload").isNotNull(), "uri"
         )
@@ -291,12 +292,21 @@ def _commit(spark: SparkSession, files: DataFrame, folder: str) -> None:
             yield frame[["name"]]
 
     renamed = files.mapInPandas(rename, "name string").count()
-    whole = files.agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes")).first()
     fs, base = _store(folder)
     fs.create_dir(base, recursive=True)
-    summary = {"files": renamed, "records": whole["records"] or 0, "bytes": whole["bytes"] or 0}
+    totals = {"files": 0, "records": 0, "bytes": 0}
+    # a line per file, from one partition at a time
+    with fs.open_output_stream(f"{base}/_{FILES}") as out:
+        for r in files.select("name", "records", "bytes", "sha1").toLocalIterator():
+            out.write(json.dumps(r.asDict()).encode() + b"\n")
+            totals["files"] += 1
+            totals["records"] += r["records"]
+            totals["bytes"] += r["bytes"]
+    if renamed != totals["files"]:
+        raise OSError(f"{renamed} files renamed, not {totals['files']}")
+    fs.move(f"{base}/_{FILES}", f"{base}/{FILES}")
     with fs.open_output_stream(f"{base}/_{MANIFEST}") as out:
-        out.write(json.dumps(summary).encode())
+        out.write(json.dumps(totals).encode())
     fs.move(f"{base}/_{MANIFEST}", f"{base}/{MANIFEST}")
 
 
@@ -319,21 +329,45 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """A row per response or revisit: ``key, payload_bytes, payload_digest, record_type,
-    refers_to, uri, payload`` (null for revisits). Digests of responses are checked."""
+    refers_to, uri, payload`` (null for revisits). Files, records and digests are checked against
+    the manifest; a difference is an error, for files that are missing, of another size or not
+    named at once, for others when they are read."""
     fs, base = _store(folder)
     with fs.open_input_stream(f"{base}/{MANIFEST}") as manifest:
         expected = json.loads(manifest.read())
     if not expected["files"]:
         return spark.createDataFrame([], _RECORDS)
+    lines = spark.read.schema(_LINE).json(f"{folder}/{FILES}")
+    found = lines.agg(
+        F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"),
+        F.sum("bytes").alias("bytes"),
+    ).first()
+    if found.asDict() != expected:
+        raise ValueError(f"the manifest of {folder} names {found.asDict()}, not {expected}")
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.warc.gz")
+        .load(folder)
+        .withColumn("name", F.substring_index("path", "/", -1))
+    )
+    there = files.select("name", F.col("length").alias("there"))
+    torn = lines.join(there, "name", "full_outer").filter(~F.col("bytes").eqNullSafe(F.col("there")))
+    wrong = torn.orderBy("name").limit(20).collect()
+    if wrong:
+        text = ", ".join(f"{r['name']} ({r['there']} bytes, not {r['bytes']})" for r in wrong)
+        raise ValueError(f"the archive {folder} differs from its manifest: {text}")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
+            for row in frame.itertuples():
+                name, content, rows, records = row.name, row.content, [], 0
+                if hashlib.sha1(content).hexdigest() != row.sha1:
+                    raise ValueError(f"{name} has a wrong digest")
                 for headers, block in parse_archive(content):
                     kind = headers["WARC-Type"]
                     if kind == "warcinfo":
                         continue
+                    records += 1
                     payload = block.partition(b"\r\n\r\n")[2]
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if headers["WARC-Block-Digest"] != "sha1:" + base32_sha1(block) or (
@@ -349,10 +383,12 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                     if len(rows) == 500:
                         yield _frame(rows)
                         rows = []
+                if records != row.records:
+                    raise ValueError(f"{name} has {records} records, not {row.records}")
                 yield _frame(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("path", "content").mapInPandas(read, _RECORDS)
+    named = files.join(broadcast_if_small(lines.drop("bytes")), "name")
+    return named.select("name", "content", "records", "sha1").mapInPandas(read, _RECORDS)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -5,7 +5,9 @@ from base64 import b32encode
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexmill.llm import warc_archive
 from lexmill.llm.warc_archive import parse_archive, read_archive, write_archive
 
 ROWS = [
@@ -51,14 +53,70 @@ def test_round_trip(spark, pages, tmp_path):
 
 
 def test_same_files_again(spark, pages, tmp_path):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
     for name, n in (("a", 1), ("b", 6)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(3 + n))
         write_archive(pages.repartition(n), str(tmp_path / name), shard_bytes=2000)
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
     first, second = (
         {p.name: p.read_bytes() for p in (tmp_path / n).glob("*.warc.gz")} for n in ("a", "b")
     )
     assert first == second and len(first) > 2
 
 
+@pytest.fixture
+def archive(pages, tmp_path):
+    folder = tmp_path / "archive"
+    write_archive(pages, str(folder), shard_bytes=2000)
+    return folder, sorted(folder.glob("*.warc.gz"))
+
+
+def _changed(path, data):
+    path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    path.write_bytes(data)
+
+
+def test_a_lost_file_is_an_error(spark, archive, tmp_path):
+    folder, files = archive
+    files[0].rename(tmp_path / "elsewhere")
+    with pytest.raises(ValueError, match=files[0].name):
+        read_archive(spark, str(folder))
+
+
+def test_a_cut_file_is_an_error(spark, archive):
+    folder, files = archive
+    _changed(files[-1], files[-1].read_bytes()[:-7])
+    with pytest.raises(ValueError, match=files[-1].name):
+        read_archive(spark, str(folder))
+
+
+def test_an_unnamed_file_is_an_error(spark, archive):
+    folder, files = archive
+    (folder / "records-99999999-0000.warc.gz").write_bytes(files[0].read_bytes())
+    with pytest.raises(ValueError, match="records-99999999"):
+        read_archive(spark, str(folder))
+
+
+def test_a_changed_file_is_an_error(spark, archive):
+    folder, files = archive
+    data = bytearray(files[0].read_bytes())
+    data[4] ^= 1  # the time of a gzip header, which no other check sees
+    _changed(files[0], bytes(data))
+    with pytest.raises(Exception, match="wrong digest"):
+        read_archive(spark, str(folder)).count()
+
+
+def test_a_commit_may_run_again(spark, pages, tmp_path):
+    """Files that were renamed before the driver was lost are left as they are."""
+    folder = str(tmp_path / "archive")
+    files = write_archive(pages, folder, shard_bytes=2000)
+    before = {p.name: p.read_bytes() for p in Path(folder).glob("*.warc.gz")}
+    again = files.withColumn("temporary", F.concat(F.lit("_temporary/x/"), "name"))
+    warc_archive._commit(spark, again, folder)
+    assert before == {p.name: p.read_bytes() for p in Path(folder).glob("*.warc.gz")}
+    assert read_archive(spark, folder).count() == len(ROWS)
+
+
 def test_no_smaller_revisits_and_no_rows(spark, pages, tmp_path):
     write_archive(pages, str(tmp_path / "least"), least_bytes=5)
     kinds = {r.key: r.record_type for r in read_archive(spark, str(tmp_path / "least")).collect()}
