@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from lexmill.llm import license_scan
 from lexmill.llm.decontamination import find_leaks, without_leaks
 from lexmill.llm.embedding_neardup import (
     _counted,
@@ -72,6 +73,77 @@ def test_similar_licenses_are_told_apart(spark):
     assert sorted((names[r.doc_id], r.license) for r in got) == [(n, n) for n in sorted(texts) if n != "none"]
 
 
+def _notice(clauses):
+    numbered = (f"{i}. {text}" for i, text in enumerate(clauses[1:], 1))
+    return f"Copyright (c) 2020, X Y. {clauses[0]}: " + ". ".join(numbered) + ". THIS SOFTWARE IS PROVIDED"
+
+
+def test_clauses_and_versions(spark):
+    head, source, binary, advertising, names = license_scan._CLAUSES.values()
+    texts = {
+        "BSD-2-Clause": _notice([head, source, binary]),
+        "BSD-3-Clause": _notice([head, source, binary, names.replace("the copyright holder", "Acme Inc")]),
+        "BSD-4-Clause": _notice([head, source, binary, advertising, names]),
+        "LGPL-3.0": TEMPLATES["GPL-3.0"][1].replace("GNU", "GNU Lesser").replace("program", "library"),
+        "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License",
+        "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "GPL-3.0": "all files are GPL v3.0 only unless they say so",
+        "GPL-2.0": "// SPDX-License-Identifier: GPL-2.0-or-later",
+        "AGPL-3.0": "# SPDX-License-Identifier: AGPL-3.0-only",
+        "MIT": "/* SPDX-License-Identifier: MIT */",
+        "ISC": TEMPLATES["ISC"][0],
+    }
+    names_ = list(texts)
+    rows = [(i, f"some text before. {t}. And some after it.") for i, t in enumerate(texts.values())]
+    rows.append((99, f"{head}. and nothing more is said here"))
+    # two clauses in one place and three in another
+    rows.append((100, texts["BSD-2-Clause"] + " word" * 300 + " " + texts["BSD-3-Clause"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in scan_licenses(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got.pop(100) == {"BSD-2-Clause", "BSD-3-Clause"}
+    assert got == {i: {n} for i, n in enumerate(names_)}
+
+
+def test_long_texts_repeats_and_ties(spark):
+    notice = TEMPLATES["MIT"][1]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, f"{long} {notice} {long}"), (2, f"{notice} {notice}"), (2, notice), (2, notice)]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.containment, r.first_word) for r in got) == sorted(
+        [(1, "MIT", 1.0, 60_000), (2, "MIT", 1.0, 0), (2, "MIT", 1.0, 0), (2, "MIT", 1.0, 0)]
+    )
+
+
+def test_containment_against_brute_force(spark):
+    """Every document and template by whole sets of shingles, in spoiled notices."""
+    rng = np.random.default_rng(8)
+    templates = {n: TEMPLATES[n] for n in ("MIT", "ISC", "MPL-2.0", "Apache-2.0")}
+    shingled = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    words_in = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    rows, expected = [], {}
+    for name, texts in templates.items():
+        for text in texts:
+            own = words_in(text)
+            for share in (0, 0.01, 0.03, 0.06, 0.3):
+                words = [w if rng.random() >= share or w.isdigit() else "zz" for w in own]
+                doc = len(rows)
+                rows.append((doc, " ".join(["before it"] * 9 + words + ["after it"] * 9)))
+                for other, theirs in templates.items():
+                    best = 0
+                    for t in theirs:
+                        w = words_in(t)
+                        kept = shingled(w) & shingled(words_in(rows[-1][1]))
+                        if all(s in kept for s in shingled(w) if any(c.isdigit() for x in s for c in x)):
+                            best = max(best, len(kept) / len(shingled(w)))
+                    if best >= 0.8:
+                        expected[doc, other] = best
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert {(r.doc_id, r.license): r.containment for r in got} == pytest.approx(expected)
+    assert 30 < len(expected) < len(rows)
+
+
 # ---------------------------------------------------------------- decontamination
 
 ITEMS = [
