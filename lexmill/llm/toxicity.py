@@ -1,7 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse word features.
 
-A text's features are its words (runs of letters and digits, A-Z lower-cased) with the
-logarithm of one plus their count. One weight vector ``w`` serves all thresholds
+A text's features are its words (runs of letters and digits, A-Z lower-cased) and the beginnings
+of longer ones (``PREFIXES`` bytes; insults come in compounds), with the logarithm of one plus
+their count. One weight vector ``w`` serves all thresholds
 ``t_0 < t_1 < ...``: the probability of a grade above ``k`` is ``sigmoid(w.x - t_k)``, and the
 expected severity is the sum of these probabilities. An L1 penalty keeps few words.
 
@@ -9,7 +10,9 @@ The model is fitted in one task on a bounded sample of the labelled rows (``SAMP
 whole texts, chosen by a hash of the id) and on words of at least ``LEAST_ROWS`` of its rows;
 scoring reads every whole text.
 
-Weights are not negative: words only add to severity.
+Weights are not negative: words only add to severity. The severity from which a text has a grade
+is the least that at most ``FALSE_ALARMS`` of clean rows reach, each judged by a fit to the half of
+the sample without it; the weights are then fitted to the whole sample.
 
 Defined cases: a null text is an empty one; a text without known words has the severity that
 the thresholds alone give, the least of all; repeated rows score alike; rows without grade, or with grades that
@@ -28,14 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import PUNCTUATED, words_of
+from lexmill.llm.byte_words import LOWER, PUNCTUATED, Words, mix64, words_of
 from lexmill.llm.quality_cnn import bounded_sample
 from lexmill.session import written
 
 SAMPLE_ROWS = 8192
+PREFIXES = (4, 5, 6, 7, 8)
 LEAST_ROWS = 5
-PENALTY = 2e-4
+PENALTY = 3e-4
 STEPS = 400
+# share of clean held-out rows that may get a grade, and the fewest to judge that by
+FALSE_ALARMS, LEAST_CLEAN = 0.005, 200
 # a word marks toxic rows if it is this much more frequent in them
 MARK_RATIO = 8.0
 
@@ -44,6 +50,7 @@ class Ordinal(NamedTuple):
     words: np.ndarray  # sorted hashes
     weights: np.ndarray
     thresholds: np.ndarray  # rising, one less than grades
+    cut: float = 0.5  # severity from which a text has a grade
 
 
 class _Rows(NamedTuple):
@@ -57,16 +64,38 @@ class _Rows(NamedTuple):
         sums = np.concatenate([[0.0], np.cumsum(self.values * w[self.columns])])
         return sums[self.starts[1:]] - sums[self.starts[:-1]]
 
+    def take(self, rows: np.ndarray) -> _Rows:
+        sizes = np.diff(self.starts)[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[rows] - (ends - sizes), sizes)
+        return _Rows(np.concatenate([[0], ends]), self.columns[at], self.values[at])
+
     def back(self, d: np.ndarray, n: int) -> np.ndarray:
         spread = np.repeat(d, np.diff(self.starts))
         return np.bincount(self.columns, weights=self.values * spread, minlength=n)
 
 
+def _features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes per word, which words have the feature): the words, and their beginnings."""
+    every = np.ones(len(words.hashes), bool)
+    out = [(words.hashes, every)]
+    data = np.concatenate([words.data, np.zeros(max(PREFIXES), np.uint8)])
+    value = np.zeros(len(words.hashes), np.uint64)
+    for n in range(max(PREFIXES)):
+        value |= LOWER[data[words.begin + n]].astype(np.uint64) << np.uint64(8 * n)
+        if n + 1 in PREFIXES:
+            longer = words.end - words.begin > n + 1
+            out.append((mix64(value ^ np.uint64(0x9D39247E33776D41 + n)), longer))
+    return out
+
+
 def _word_counts(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, distinct word hashes, counts)."""
+    """(row, distinct feature hashes, counts)."""
     for words in words_of(column, PUNCTUATED):
+        kinds = _features(words)
         for i in range(words.rows):
-            found = words.hashes[words.first[i] : words.first[i + 1]]
+            part = slice(words.first[i], words.first[i + 1])
+            found = np.concatenate([h[part][own[part]] for h, own in kinds])
             yield words.start + i, *np.unique(found, return_counts=True)
 
 
@@ -161,6 +190,29 @@ def severity_grades(counts: list[np.ndarray], words: list[np.ndarray], toxic: np
     return grades
 
 
+def expected_severity(margin: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """The sum of the probabilities of a grade above each threshold."""
+    return _sigmoid(margin[:, None] - thresholds[None, :]).sum(axis=1)
+
+
+def least_severity(rows: _Rows, grades: np.ndarray, features: int) -> float:
+    """Severity that few clean rows reach, each judged by a fit to the half without it."""
+    if (grades == 0).sum() < LEAST_CLEAN:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        seen = np.arange(len(grades)) % 2 == half
+        if len(np.unique(grades[seen])) < 2:
+            return 0.5
+        weights, thresholds = fit_ordinal(
+            rows.take(np.flatnonzero(seen)), grades[seen], features, least=0.0
+        )
+        clean = np.flatnonzero(~seen & (grades == 0))
+        found.append(expected_severity(rows.take(clean).dot(weights), thresholds))
+    severity = np.concatenate(found)
+    return min(0.5, float(np.quantile(severity, 1 - FALSE_ALARMS, method="higher")) + 1e-6)
+
+
 def train_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -192,29 +244,35 @@ def train_toxicity(
             np.concatenate([p[k] for p, k in zip(place, known, strict=True)]),
             np.log1p(np.concatenate([c[k] for c, k in zip(counts, known, strict=True)])),
         )
+        cut = 0.5
         if len(np.unique(grades)) > 1:
+            cut = least_severity(sparse, grades, len(every))
             # words only add to severity: a text without any is the least severe
             weights, thresholds = fit_ordinal(sparse, grades, len(every), least=0.0)
         else:  # the only grade for sure
             weights, thresholds = np.zeros(len(every)), np.full(int(grades[0]), -40.0)
         used = weights != 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x.tobytes()], pa.binary()) for x in (every[used], weights[used], thresholds)],
-            ["words", "weights", "thresholds"],
+            [
+                *(pa.array([x.tobytes()], pa.binary()) for x in (every[used], weights[used], thresholds)),
+                pa.array([cut]),
+            ],
+            ["words", "weights", "thresholds", "cut"],
         )
 
     # one task for a sample of bounded size; a row of some kilobytes comes back
     fitted = (
         sample.groupBy(F.lit(0).alias("all"))
-        .applyInArrow(fit, "words binary, weights binary, thresholds binary")
+        .applyInArrow(fit, "words binary, weights binary, thresholds binary, cut double")
         .collect()
     )
     if not fitted:
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     row = fitted[0]
     return Ordinal(
-        np.frombuffer(row["words"], np.uint64), np.frombuffer(row["weights"]), np.frombuffer(row["thresholds"])
-    )
+        np.frombuffer(row["words"], np.uint64), np.frombuffer(row["weights"]),
+        np.frombuffer(row["thresholds"]), row["cut"],
+    )
 
 
 def margins(model: Ordinal, column) -> np.ndarray:
@@ -224,10 +282,13 @@ def margins(model: Ordinal, column) -> np.ndarray:
     for words in words_of(column, PUNCTUATED):
         scores = np.zeros(words.rows)
         if len(known) and len(words.hashes):
-            place = np.minimum(np.searchsorted(known, words.hashes), len(known) - 1)
-            hit = np.flatnonzero(known[place] == words.hashes)
-            row = np.searchsorted(words.first, hit, side="right") - 1
-            entry, many = np.unique(row * len(known) + place[hit], return_counts=True)
+            entries = []
+            for hashes, own in _features(words):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = np.flatnonzero((known[place] == hashes) & own)
+                row = np.searchsorted(words.first, hit, side="right") - 1
+                entries.append(row * len(known) + place[hit])
+            entry, many = np.unique(np.concatenate(entries), return_counts=True)
             scores = np.bincount(
                 entry // len(known),
                 weights=model.weights[entry % len(known)] * np.log1p(many),
@@ -238,27 +299,19 @@ def margins(model: Ordinal, column) -> np.ndarray:
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
-    """``docs`` with ``severity`` (expected grade), ``grade`` (its nearest) and ``toxic``
-    (whether a grade above 0 is likelier than not)."""
+    """``docs`` with ``severity`` (expected grade), ``grade`` (its nearest, from the model's least
+    severity on at least 1, below it 0) and ``toxic`` (whether the grade is above 0)."""
     new = ("severity", "grade", "toxic")
     kept = [c for c in docs.columns if c not in new]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some kilobytes
 
-    @F.arrow_udf("struct<severity: double, above: double>")
+    @F.arrow_udf("double")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = shared.value
         for column in columns:
-            m = margins(fitted, column)
-            above = _sigmoid(m[:, None] - fitted.thresholds[None, :])
-            first = above[:, 0] if above.shape[1] else np.zeros(len(m))
-            yield pa.StructArray.from_arrays(
-                [pa.array(above.sum(1)), pa.array(first)], names=["severity", "above"]
-            )
+            yield pa.array(expected_severity(margins(fitted, column), fitted.thresholds))
 
-    scored = docs.select(*kept, score(F.col(text)).alias("_score"))
-    return scored.select(
-        *kept,
-        F.col("_score.severity").alias("severity"),
-        F.round("_score.severity").cast("int").alias("grade"),
-        (F.col("_score.above") >= 0.5).alias("toxic"),
-    )
+    scored = docs.select(*kept, score(F.col(text)).alias("severity"))
+    nearest = F.greatest(F.round("severity").cast("int"), F.lit(1))
+    grade = F.when(F.col("severity") >= model.cut, nearest).otherwise(0)
+    return scored.select(*kept, "severity", grade.alias("grade"), (grade > 0).alias("toxic"))

@@ -1,5 +1,6 @@
 """Toxicity, language, quality: odd rows, and accuracy on rows that didn't train."""
 
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import quality_cnn, toxicity
+from lexmill.llm.byte_words import PUNCTUATED, words_of
 from lexmill.llm.language_id import UNKNOWN, fuse_languages, markup_language, page_text, train_languages
 from lexmill.llm.queries import op9_quality_cnn
 from lexmill.llm.quality_cnn import bounded_sample, new_network, score_quality, train_quality
@@ -138,6 +140,43 @@ def test_toxic_documents(spark):
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxic_rows_that_did_not_train(spark):
+    """Labels of every other document train; the others are caught, clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = train_toxicity(docs, known.filter("doc_id % 2 = 0"), binary=True)
+    assert 0 < model.cut <= 0.5
+    held = docs.join(known.filter("doc_id % 2 = 1"), "doc_id")
+    rows = score_toxicity(held, model).toPandas()
+    caught = rows["grade"][rows["label"] == 1] > 0
+    alarms = rows["grade"][rows["label"] == 0] > 0
+    assert len(caught) > 150 and caught.mean() > 0.88 and alarms.mean() < 0.01
+    assert (rows["toxic"] == (rows["grade"] > 0)).all()
+    # severity by plain Python
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    for r in held.join(known.select("doc_id"), "doc_id").limit(40).collect():
+        found = {}
+        for words in words_of(pa.array([r.text]), PUNCTUATED):
+            for hashes, own in toxicity._features(words):
+                for h in hashes[own].tolist():
+                    found[h] = found.get(h, 0) + 1
+        margin = sum(weights.get(h, 0) * math.log1p(n) for h, n in found.items())
+        severity = sum(1 / (1 + math.exp(t - margin)) for t in model.thresholds)
+        assert rows.set_index("doc_id").loc[r.doc_id, "severity"] == pytest.approx(severity)
+
+
+def test_beginnings_of_words():
+    """Equal beginnings are one feature, in any case, and only of longer words."""
+    words = next(words_of(pa.array(["Bomente bomentes x bomentell"]), PUNCTUATED))
+    kinds = toxicity._features(words)
+    longer = [own.tolist() for _, own in kinds[1:]]
+    assert longer == [[True, True, False, True]] * 3 + [[False, True, False, True]] + [[False] * 3 + [True]]
+    six = kinds[3][0]
+    assert six[0] == six[1] == six[3] != six[2]
+    assert len({int(h[1]) for h, _ in kinds}) == len(kinds)
+
+
 def test_toxicity_without_grades(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, label int")
