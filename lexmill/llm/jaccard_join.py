@@ -69,8 +69,8 @@ PAIRS_FROM, TRIPLES_FROM = 1, 5
 # prefix shingles per cell
 PAIR_CELL, TRIPLE_CELL = 3, 5
 SKETCH_CELLS = 256
-# bits that mark signatures of two sets or more (32 MB), and further bits of a counted key
-MARK_BITS, KEY_BITS = 28, 10
+# bits that mark signatures that occur again (8 MB), and further bits of a counted key
+MARK_BITS, KEY_BITS = 26, 12
 # sets that a task remembers, so that a copy's signatures aren't made again
 MOST_SEEN = 1 << 20
 # bytes of text, and signatures, that a counting task gets about
@@ -451,8 +451,9 @@ def _shared_marks(signed: DataFrame, part_bits: int) -> np.ndarray:
         .applyInArrow(shared, "part int, bits binary")
     )
     bits = np.zeros((1 << MARK_BITS) // 8, np.uint8)
-    for r in found.collect():  # the bit array, once
-        bits[r["part"] * (marks // 8) :][: marks // 8] = np.frombuffer(r["bits"], np.uint8)
+    table = found.toArrow()  # the bit array, once
+    for part, raw in zip(*table.columns, strict=True):
+        bits[part.as_py() * (marks // 8) :][: marks // 8] = np.frombuffer(raw.as_buffer(), np.uint8)
     return bits
 
 
@@ -643,6 +644,7 @@ def jaccard_classes(
         return of_scheme & (F.least(n, m) * den >= F.greatest(n, m) * num)
 
     entries = written(_entries(signed, marks), "entries")
+    marks.destroy()
     scratch.drop(signed)
     pivots = (
         entries.groupBy("sig")
