@@ -29,8 +29,9 @@ Steps, all but the last on distinct sets (``node``, a 64-bit key of the set):
    the pivot is the least changed copy;
 3. each set is verified against its least pivot only; of its other pivots those that are in
    another component then are tried, so that a group of near copies costs an edge per set;
-4. sets of a signature that aren't connected yet are compared pair by pair, after bounds from
-   sizes and from counts of 256 hash cells that never rule out a link;
+4. sets of a signature that aren't connected yet meet a second pivot, and those that still
+   aren't are compared pair by pair, after bounds from sizes and from counts of 256 hash cells
+   that never rule out a link;
 5. links are verified on whole sets; components are joined back to the documents. Tables are
    deleted when nothing reads them any more.
 
@@ -71,6 +72,8 @@ PAIR_CELL, TRIPLE_CELL = 3, 5
 SKETCH_CELLS = 256
 # bits that mark signatures that occur again (8 MB), and further bits of a counted key
 MARK_BITS, KEY_BITS = 26, 12
+# further pivots that the sets of a signature meet before they are compared pair by pair
+MORE_STARS = 1
 # sets that a task remembers, so that a copy's signatures aren't made again
 MOST_SEEN = 1 << 20
 # bytes of text, and signatures, that a counting task gets about
@@ -702,17 +705,47 @@ def jaccard_classes(
         components = written(connected_components(links), "components")
     scratch.drop(untried)
 
-    placed = members.join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    apart = (
-        placed.groupBy("sig")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x != y")
-        .select("sig")
-    )
-    # a pivot has met all others of its signature
-    rest = written(placed.join(apart, "sig").filter("node != pivot"), "rest")
+    def apart(sets: DataFrame) -> DataFrame:
+        """``sig, node, size, component`` of the signatures whose sets aren't all connected."""
+        placed = sets.join(components, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")
+        )
+        several = (
+            placed.groupBy("sig")
+            .agg(F.min("component").alias("x"), F.max("component").alias("y"))
+            .filter("x != y")
+            .select("sig")
+        )
+        return written(placed.join(several, "sig"), "rest")
+
+    # a pivot has met all others of its signature; of those left, the least is the next pivot
+    rest = apart(members.filter("node != pivot").select("sig", "node", "size"))
+    scratch.drop(members)
+    for _ in range(MORE_STARS):
+        pivots = rest.groupBy("sig").agg(F.min(F.struct("node", "size", "component")).alias("_p"))
+        facing = written(
+            rest.join(pivots, "sig")
+            .filter(F.col("node") != F.col("_p.node"))
+            .select(
+                "sig", "node", "size", "component", F.col("_p.node").alias("pivot"),
+                F.col("_p.size").alias("pivot_size"), F.col("_p.component").alias("pivot_of"),
+            ),
+            "facing",
+        )
+        star = written(
+            facing.filter((F.col("component") != F.col("pivot_of")) & fits("size", "pivot_size"))
+            .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+            .distinct(),
+            "star",
+        )
+        more = verified(star)
+        if not more.isEmpty():
+            links = links.union(more)
+            scratch.drop(components)
+            components = written(connected_components(links), "components")
+        scratch.drop(rest, star)
+        rest = apart(facing.select("sig", "node", "size"))
+        scratch.drop(facing)
     left, right = (
         rest.select(
             "sig", F.col("node").alias(n), F.col("component").alias(f"{n}_of"),
@@ -731,7 +764,7 @@ def jaccard_classes(
     if not more.isEmpty():
         scratch.drop(components)
         components = written(connected_components(links.union(more)), "components")
-    scratch.drop(members, rest, pairs)
+    scratch.drop(rest, pairs)
 
     named = classes.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
