@@ -227,8 +227,9 @@ def _negatives(shared, width: int, k: int, window: tuple[int, int]):
                             floors[node][j] = max(floors[node][j], worst)
                 low[node] = floors[node].min()
 
-            def other(nodes, code=code):
-                return (labels[nodes, None] != code[None, :]) & (low <= high)[nodes, None]
+            def other(nodes, code=code, ids=ids):
+                asked = (labels[nodes, None] != code[None, :]) & (own[nodes, None] != ids[None, :])
+                return asked & (low <= high)[nodes, None]
 
             bounded_scores(tree, anchors, rows, low, high, other, found)
         out = [
