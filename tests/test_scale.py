@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from lexmill.functions.grams import CharGrams, Words
+from lexmill.operators import svm
 
 
 def _plan(df):
@@ -18,3 +19,23 @@ def test_repeated_words_are_cut_once():
     got = [dict(zip([names[i] for i in ids], map(int, n))) for ids, n in grams.documents()]
     assert got[0][" ab"] == got[0]["de "] == 500 and got[1] == {}
     assert got[2] == {" de": 1, "de ": 1, " de ": 1, " é ": 1}
+
+
+def test_scores_meet_all_classes_in_one_row(spark, monkeypatch, request):
+    # a coefficient table of real size is no automatic broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    docs = spark.createDataFrame([(1,), (1,), (2,), (3,)], "d long")
+    features = spark.createDataFrame(
+        [(1, 0, 1.0), (1, 1, 2.0), (2, 1, 1.0), (2, 9, 5.0)], "d long, idx int, weight double"
+    )
+    rows = [("a", -1, 0.5), ("a", 0, 1.0), ("a", 0, 1.0), ("b", -1, 1.0), ("b", 1, 3.0), ("c", 1, 4.0)]
+    coefficients = spark.createDataFrame(rows, "class string, idx int, weight double")
+    want = {(1, "a"): 3.0, (1, "b"): 8.0, (1, "c"): 8.0, (2, "a"): 0.5, (2, "b"): 4.0,
+            (2, "c"): 4.0, (3, "a"): 0.5, (3, "b"): 1.0}
+    for at_once in (32, 2):
+        monkeypatch.setattr(svm, "CLASSES_AT_ONCE", at_once, raising=False)
+        scores = svm.class_scores(features, docs, coefficients, ["d"])
+        assert {(r["d"], r["class"]): r["score"] for r in scores.collect()} == want
+        assert "SortMergeJoin" not in _plan(scores)
+    assert svm.class_scores(features, docs, coefficients.limit(0), ["d"]).count() == 0
