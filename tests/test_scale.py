@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from lexmill.functions.grams import CharGrams, Words
+from lexmill.functions.ngrams import char_ngrams, word_ngrams
 from lexmill.operators import svm
 
 
@@ -21,6 +22,20 @@ def test_repeated_words_are_cut_once():
     assert got[2] == {" de": 1, "de ": 1, " de ": 1, " é ": 1}
 
 
+def test_listed_grams_equal_rows_without_shuffle_or_sort(spark):
+    rows = [(1, ["Ab cd", "cd"]), (2, ["", "x"]), (3, []), (None, ["Éa bb bb"])]
+    df = spark.createDataFrame(rows, "d long, texts array<string>")
+    flat = df.selectExpr("d", "explode(texts) text")
+    for grams, more in ((char_ngrams, []), (word_ngrams, [2])):
+        listed = grams(df, "texts", ["d"], *more, listed=True)
+        plan = _plan(listed)
+        assert "Exchange" not in plan and "Sort " not in plan and "Aggregate" not in plan
+        want = {}
+        for r in grams(flat, "text", ["d"], *more).collect():
+            want.setdefault(r["d"], []).append(r["term"])
+        assert {r["d"]: r["terms"] for r in listed.collect()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_scores_meet_all_classes_in_one_row(spark, monkeypatch, request):
     # a coefficient table of real size is no automatic broadcast
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
