@@ -6,6 +6,7 @@ import pyarrow as pa
 from lexmill.functions.grams import CharGrams, Words
 from lexmill.functions.ngrams import char_ngrams, word_ngrams
 from lexmill.operators import svm
+from lexmill.session import dealt
 
 
 def _plan(df):
@@ -54,3 +55,9 @@ def test_scores_meet_all_classes_in_one_row(spark, monkeypatch, request):
         assert {(r["d"], r["class"]): r["score"] for r in scores.collect()} == want
         assert "SortMergeJoin" not in _plan(scores)
     assert svm.class_scores(features, docs, coefficients.limit(0), ["d"]).count() == 0
+
+
+def test_rows_are_dealt_by_count(spark):
+    rows = spark.range(0, 500_000, numPartitions=8).withColumnRenamed("id", "n")
+    parts = dealt(rows, "n").rdd.glom().map(len).collect()
+    assert sum(parts) == 500_000 and max(parts) <= 100_000
