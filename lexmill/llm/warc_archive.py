@@ -44,6 +44,8 @@ MANIFEST = "MANIFEST.json"
 FILES = "MANIFEST.files.json"
 # payload, not compressed, that goes to one task
 SHARD_BYTES = 64 << 20
+# bytes of a file that are unpacked at once
+_PIECE = 1 << 14
 _LINE = "name string, records long, bytes long, sha1 string"
 _FILES = "name string, temporary string, shard long, part int, records long, bytes long, sha1 string"
 _RECORDS = (
@@ -312,10 +314,15 @@ def _commit(spark: SparkSession, files: DataFrame, folder: str) -> None:
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record in a file of gzip members."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        record = unpacker.decompress(data) + unpacker.flush()
-        data = unpacker.unused_data
+    data, at = memoryview(data), 0
+    while at < len(data):
+        unpacker, parts = zlib.decompressobj(31), []
+        # what is given beyond a member's end is copied: never the rest of the file
+        while at < len(data) and not unpacker.eof:
+            parts.append(unpacker.decompress(data[at : at + _PIECE]))
+            at += min(_PIECE, len(data) - at)
+        at -= len(unpacker.unused_data)
+        record = b"".join(parts) + unpacker.flush()
         head, _, rest = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):

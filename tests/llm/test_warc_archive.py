@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+import random
 from base64 import b32encode
 from pathlib import Path
 
@@ -123,3 +124,30 @@ def test_no_smaller_revisits_and_no_rows(spark, pages, tmp_path):
     assert set(kinds.values()) == {"response"}
     write_archive(pages.limit(0), str(tmp_path / "none"))
     assert read_archive(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_each_byte_is_unpacked_about_once(monkeypatch):
+    rng = random.Random(1)
+    blocks = [rng.randbytes(rng.choice([0, 10, 20_000, 60_000])) for _ in range(150)]
+    data = b"".join(
+        warc_archive._member([("WARC-Record-ID", i), ("Content-Length", len(b))], b)
+        for i, b in enumerate(blocks)
+    )
+    given, make = [], warc_archive.zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *how):
+            self.own = make(*how)
+
+        def decompress(self, piece):
+            given.append(len(piece))
+            return self.own.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(warc_archive.zlib, "decompressobj", Counted)
+    assert [b for _, b in parse_archive(data)] == blocks
+    assert sum(given) < 3 * len(data)
+    with pytest.raises(ValueError):
+        list(parse_archive(data[:-100]))
