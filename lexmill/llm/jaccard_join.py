@@ -29,9 +29,11 @@ Steps, all but the last on distinct sets (``node``, a 64-bit key of the set):
    the pivot is the least changed copy;
 3. each set is verified against its least pivot only; of its other pivots those that are in
    another component then are tried, so that a group of near copies costs an edge per set;
-4. sets of a signature that aren't connected yet meet a second pivot, and those that still
-   aren't are compared pair by pair, after bounds from sizes and from counts of 256 hash cells
-   that never rule out a link;
+4. sets of a signature that aren't connected yet are compared pair by pair if they are few.
+   Many are near copies of one text: around a centre, those that may link share one of the
+   few shingles in which each differs from it, and are joined by that. Sets far from the
+   centre get another, and those far from all are compared pair by pair. Bounds from
+   sizes and from counts of 256 hash cells come first; they never rule out a link;
 5. links are verified on whole sets; components are joined back to the documents. Tables are
    deleted when nothing reads them any more.
 
@@ -72,8 +74,11 @@ PAIR_CELL, TRIPLE_CELL = 3, 5
 SKETCH_CELLS = 256
 # bits that mark signatures that occur again (8 MB), and further bits of a counted key
 MARK_BITS, KEY_BITS = 26, 12
-# further pivots that the sets of a signature meet before they are compared pair by pair
-MORE_STARS = 1
+# sets of a signature that are compared pair by pair at once; more meet around a centre first
+PAIRED = 8
+# centres that such sets get in turn, and the distance (a fraction) up to which all that a set may
+# link with is found around its centre
+CENTRES, LEEWAY = 3, (3, 10)
 # sets that a task remembers, so that a copy's signatures aren't made again
 MOST_SEEN = 1 << 20
 # bytes of text, and signatures, that a counting task gets about
@@ -582,6 +587,102 @@ def _verified(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return _with(edges, sets, "shingles").mapInArrow(run, "a long, b long")
 
 
+# ---------------------------------------------------------------- around a centre
+
+
+def _differences(spokes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, n, m, apart, excess, core, differ`` of spokes from a centre ``a`` to a set ``b``:
+    their sizes, in how many shingles they differ, the shingles, and whether they are near enough
+    that ``b`` meets all that it may link with here. ``excess`` is above 0 if they don't link.
+    Spokes that are too far for that and for those near the centre are left out."""
+    top, bottom = LEEWAY[1] * num - LEEWAY[0] * den, LEEWAY[1] * den
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, len(batch), 256):
+                yield rows(batch.slice(part, 256))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, found, differ = [], [], []
+        for x, y in zip(_column(batch, "a_shingles"), _column(batch, "b_shingles"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), _U64) for v in (x, y))
+            other = np.setxor1d(x, y, assume_unique=True)
+            n, m, apart = len(x), len(y), len(other)
+            overlap = (n + m - apart) // 2
+            keep.append(_links(overlap, n, m, top, bottom))
+            if keep[-1]:
+                core = _links(overlap, n, m, LEEWAY[1] - LEEWAY[0], LEEWAY[1])
+                excess = (den + num) * apart - (den - num) * (n + m)
+                found.append((n, m, apart, excess, core))
+                differ.append(other.view(np.int64))
+        ends = np.cumsum([0, *map(len, differ)]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int64), *differ])
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        own = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        return pa.RecordBatch.from_arrays(
+            [
+                *own.columns, *(pa.array(c, pa.int64()) for c in columns[:4]),
+                pa.array(columns[4], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+            ],
+            ["a", "b", "n", "m", "apart", "excess", "core", "differ"],
+        )
+
+    return _with(spokes, sets, "shingles").mapInArrow(
+        run,
+        "a long, b long, n long, m long, apart long, excess long, core boolean, differ array<long>",
+    )
+
+
+def _around_pairs(around: DataFrame, components: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a, b`` of sets around one centre that may link and are in different components.
+
+    Two sets that link differ in ``(den - num) / (den + num)`` of both sizes at most. So of the
+    shingles in which they differ from the centre they share no less than half of what
+    both numbers exceed that by: at least one, if one of them doesn't link with the centre.
+    These shingles are put in order, the least frequent around the centre first, and a prefix of
+    each set is enough to find a shared one.
+    """
+    both, lost = den + num, den - num
+    each = around.select("a", "b", F.explode("differ").alias("x"))
+    # a shingle of one set alone only counts as a place in its order
+    times = each.groupBy("a", "x").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    lists = (
+        each.join(times, ["a", "x"])
+        .groupBy("a", "b")
+        .agg(F.array_sort(F.collect_list(F.struct("times", "x"))).alias("order"))
+    )
+    outside = F.col("excess") > 0
+    # what it shares with a set that doesn't link with the centre, and with one that does
+    share = F.ceil((F.col("excess") + 1 + 2 * lost * F.col("n")) / (2 * both))
+    inner = F.greatest(F.lit(1), F.ceil(F.col("excess") / (2 * den)))
+    share = F.when(outside, F.least(share, inner)).otherwise(share)
+    placed = (
+        around.join(lists, ["a", "b"])
+        .withColumns({"alone": F.col("apart") - F.size("order"), "prefix": F.col("apart") - share + 1})
+        .withColumn("order", F.expr("slice(`order`, 1, cast(greatest(prefix - alone, 0) AS int))"))
+        .select("a", "b", "m", "apart", "excess", "alone", F.posexplode("order").alias("i", "s"))
+        .join(components, "b", "left")
+        .select(
+            "a", F.col("s.x").alias("x"), "b", "m", "apart", "excess",
+            (F.col("apart") - F.col("alone") - F.col("i")).alias("left"),
+            F.coalesce("b_of", "b").alias("of"),
+        )
+    )
+    one, two = (
+        placed.select("a", "x", *(F.col(c).alias(f"{c}{k}") for c in ("b", "m", "apart", "excess", "left", "of")))
+        for k in "12"
+    )
+    needed = both * (F.col("apart1") + F.col("apart2")) - lost * (F.col("m1") + F.col("m2"))
+    return (
+        one.filter("excess1 > 0")
+        .join(two, ["a", "x"])
+        .filter((F.col("excess2") <= 0) | (F.col("b1") < F.col("b2")))
+        .filter((F.col("of1") != F.col("of2")) & (2 * both * F.least("left1", "left2") >= needed))
+        .select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
+        .distinct()
+    )
+
+
 # ---------------------------------------------------------------- the join
 
 
@@ -659,7 +760,8 @@ def jaccard_classes(
     members = written(entries.join(pivots, "sig").distinct(), "members")
     scratch.drop(entries)
 
-    def verified(edges: DataFrame) -> DataFrame:
+    def compared(edges: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+        """The edges that may be as similar as ``least``, and the sets at their ends."""
         nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         sketches = (
             rows.filter("sketch is not null")
@@ -667,10 +769,13 @@ def jaccard_classes(
             .join(nodes, "node", "left_semi")
             .dropDuplicates(["node"])
         )
-        likely = written(_possible(edges, sketches, num, den), "likely")
+        likely = written(_possible(edges, sketches, *least), "likely")
         nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         wanted = classes.join(nodes, "node", "left_semi")
-        sets = written(_sets_of(docs, wanted, size, table, blocks), "sets")
+        return likely, written(_sets_of(docs, wanted, size, table, blocks), "sets")
+
+    def verified(edges: DataFrame) -> DataFrame:
+        likely, sets = compared(edges, (num, den))
         links = written(_verified(likely, sets, num, den), "links")
         scratch.drop(likely, sets)
         return links
@@ -718,34 +823,45 @@ def jaccard_classes(
         )
         return written(placed.join(several, "sig"), "rest")
 
-    # a pivot has met all others of its signature; of those left, the least is the next pivot
+    # a pivot has met all others of its signature; of those left, many meet around a centre
     rest = apart(members.filter("node != pivot").select("sig", "node", "size"))
     scratch.drop(members)
-    for _ in range(MORE_STARS):
-        pivots = rest.groupBy("sig").agg(F.min(F.struct("node", "size", "component")).alias("_p"))
-        facing = written(
-            rest.join(pivots, "sig")
-            .filter(F.col("node") != F.col("_p.node"))
-            .select(
-                "sig", "node", "size", "component", F.col("_p.node").alias("pivot"),
-                F.col("_p.size").alias("pivot_size"), F.col("_p.component").alias("pivot_of"),
-            ),
-            "facing",
-        )
-        star = written(
-            facing.filter((F.col("component") != F.col("pivot_of")) & fits("size", "pivot_size"))
-            .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            .distinct(),
-            "star",
+    few = []
+    for turn in range(CENTRES):
+        # at first the root of the least component, which most signatures of a group of copies
+        # have in common, then the least of the sets that were far from it
+        groups = rest.groupBy("sig").agg(
+            F.count(F.lit(1)).alias("sets"),
+            F.min("node" if turn else "component").alias("centre"),
+        )
+        facing = written(rest.drop("component").join(groups, "sig"), "facing")
+        scratch.drop(rest)
+        few.append(facing.filter(F.col("sets") <= PAIRED).select("sig", "node", "size"))
+        many = facing.filter(F.col("sets") > PAIRED)
+        spokes = written(
+            many.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "spokes"
         )
-        more = verified(star)
+        near, sets = compared(spokes, (LEEWAY[1] * num - LEEWAY[0] * den, LEEWAY[1] * den))
+        around = written(_differences(near, sets, num, den), "around")
+        linked = around.filter("excess <= 0").select("a", "b")
+        linked = linked.join(component("a"), "a", "left").join(component("b"), "b", "left")
+        linked = linked.filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
+        pairs = written(_around_pairs(around, component("b"), num, den), "pairs")
+        more = written(linked.union(_verified(pairs, sets, num, den)), "links")
+        scratch.drop(near, sets, pairs)
         if not more.isEmpty():
             links = links.union(more)
             scratch.drop(components)
             components = written(connected_components(links), "components")
-        scratch.drop(rest, star)
-        rest = apart(facing.select("sig", "node", "size"))
-        scratch.drop(facing)
+        core = around.filter("core").select(F.col("a").alias("centre"), F.col("b").alias("node"))
+        far = many.join(core, ["centre", "node"], "left_anti").select("sig", "node", "size")
+        rest = apart(far)
+        scratch.drop(spokes, around)
+        if rest.isEmpty():
+            break
+    for part in few:
+        far = rest.select("sig", "node", "size").union(part) if part is few[0] else far.union(part)
+    rest = apart(far)
     left, right = (
         rest.select(
             "sig", F.col("node").alias(n), F.col("component").alias(f"{n}_of"),

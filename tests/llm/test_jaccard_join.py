@@ -76,6 +76,53 @@ def test_equals_all_pairs(spark, monkeypatch, seed, size, num, den, rare):
     assert sorted(map(tuple, got)) == sorted(brute(rows, size, num, den))
 
 
+@pytest.mark.parametrize(("seed", "size", "num", "den"), [(1, 3, 9, 10), (6, 2, 4, 5), (4, 1, 1, 2)])
+def test_sets_around_centres_equal_all_pairs(spark, monkeypatch, seed, size, num, den):
+    # all signatures of more than two sets get centres
+    for name, value in (("RARE_BELOW", 3), ("TRIPLES_FROM", 3), ("PAIRED", 1), ("CENTRES", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    # some copies of copies, so that sets far from a centre share differences
+    rows = corpus(seed, families=4, copies=15)
+    draw = random.Random(seed)
+    texts = [t.split() for _, t in rows if t and len(t.split()) > 7]
+    for k in range(30):
+        words = list(draw.choice(texts))
+        for _ in range(draw.choice([1, 4, 6])):
+            words[draw.randrange(len(words))] = f"own{draw.randrange(40)}"
+        rows.append((1000 + k, " ".join(words)))
+        texts.append(words)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard_classes(df, size, (num, den)).drop("text_key").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, size, num, den))
+
+
+def test_unconnected_copies_are_not_paired(spark, monkeypatch):
+    """Copies too far apart to link share most signatures; they must not meet one by one."""
+    tried = []
+
+    def spied(name):
+        was = getattr(jaccard_join, name)
+        monkeypatch.setattr(
+            jaccard_join, name, lambda edges, *more: tried.append(edges.count()) or was(edges, *more)
+        )
+
+    spied("_possible")
+    spied("_verified")
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [" ".join(base)]
+    for k in range(120):
+        words = list(base)
+        for at in draw.sample(range(120), 1 if k % 2 else 8):
+            words[at] = f"own{k}x{at}"
+        rows.append(" ".join(words))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_classes(df, 3, (9, 10)).drop("text_key").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 3, 9, 10))
+    assert sum(tried) < 10 * len(rows), tried
+
+
 def test_linked_sets_share_a_signature():
     draw = np.random.Generator(np.random.PCG64(3))
     for num, den in ((9, 10), (4, 5), (1, 2)):
