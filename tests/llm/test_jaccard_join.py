@@ -96,31 +96,33 @@ def test_sets_around_centres_equal_all_pairs(spark, monkeypatch, seed, size, num
     assert sorted(map(tuple, got)) == sorted(brute(rows, size, num, den))
 
 
-def test_unconnected_copies_are_not_paired(spark, monkeypatch):
-    """Copies too far apart to link share most signatures; they must not meet one by one."""
-    tried = []
-
-    def spied(name):
-        was = getattr(jaccard_join, name)
-        monkeypatch.setattr(
-            jaccard_join, name, lambda edges, *more: tried.append(edges.count()) or was(edges, *more)
-        )
-
-    spied("_possible")
-    spied("_verified")
+def test_unconnected_copies_are_not_paired(spark):
+    """Copies too far apart to link lie around one text; they must not meet one by one."""
     draw = random.Random(8)
-    base = [f"w{i}" for i in range(120)]
-    rows = [" ".join(base)]
-    for k in range(120):
-        words = list(base)
-        for at in draw.sample(range(120), 1 if k % 2 else 8):
-            words[at] = f"own{k}x{at}"
-        rows.append(" ".join(words))
-    rows = list(enumerate(rows))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard_classes(df, 3, (9, 10)).drop("text_key").collect()
-    assert sorted(map(tuple, got)) == sorted(brute(rows, 3, 9, 10))
-    assert sum(tried) < 10 * len(rows), tried
+    fresh = lambda k: {draw.getrandbits(63) for _ in range(k)}
+    changed = lambda s, k: set(draw.sample(sorted(s), len(s) - k)) | fresh(k)
+    base = fresh(200)
+    # beside the centre those that link with it, those that don't, and near copies of either
+    found = [base] + [changed(base, 4) for _ in range(30)] + [changed(base, 15) for _ in range(90)]
+    found += [changed(draw.choice(found[1:]), k) for k in (2, 5, 8, 10) * 8]
+    linked = {
+        (i, j) for j in range(len(found)) for i in range(j)
+        if 10 * len(found[i] & found[j]) >= 9 * len(found[i] | found[j])
+    }
+    sets = spark.createDataFrame(
+        [(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in enumerate(found)],
+        "node long, shingles binary",
+    )
+    spokes = spark.createDataFrame([(0, i) for i in range(1, len(found))], "a long, b long")
+    around = jaccard_join._differences(spokes, sets, 9, 10)
+    inside = {r.b for r in around.collect() if r.excess <= 0}
+    assert inside == {j for i, j in linked if i == 0}
+    alone = spark.createDataFrame([], "b long, b_of long")
+    pairs = [tuple(r) for r in jaccard_join._around_pairs(around, alone, 9, 10).collect()]
+    wanted = {(i, j) for i, j in linked if i and not (i in inside and j in inside)}
+    assert len(wanted) > 10 and wanted <= set(pairs)
+    # 11,476 pairs in all
+    assert len(pairs) < 3 * len(wanted), (len(pairs), len(wanted))
 
 
 def test_linked_sets_share_a_signature():
