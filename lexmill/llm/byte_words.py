@@ -40,21 +40,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-# rows of whole texts in an Arrow batch
-BATCH_ROWS = 1000
-
-
-def bounded_batches(spark) -> None:
-    """Let no Arrow batch of the session hold more than ``BATCH_ROWS`` rows.
-
-    The default of 10,000 suits numbers; with whole texts it costs tens of megabytes for each
-    copy of a batch, in the executor and in its Python workers.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 class _Powers:
     """Powers of the odd base and of its inverse modulo 2**64, grown when a text needs more."""
 

@@ -42,13 +42,12 @@ from lexmill.llm.byte_words import (
     PUNCTUATED,
     UPPER,
     Words,
-    bounded_batches,
     inside_rows,
     mix64,
     shingles,
     words_of,
 )
-from lexmill.session import written
+from lexmill.session import bounded_batches, written
 
 WINDOW = 8
 LEAST_TOKENS = 5

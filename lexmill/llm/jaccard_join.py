@@ -56,13 +56,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import bounded_batches, mix64, row_shingles, set_key, words_of
+from lexmill.llm.byte_words import mix64, row_shingles, set_key, words_of
 from lexmill.llm.components import connected_components
-from lexmill.session import Scratch, written
+from lexmill.session import Scratch, bounded_batches, written
 
-# shingles with a level, and slots (a power of 2) of the table that holds the levels
+# shingles with a level, and the most and the least slots (powers of 2) of the table that holds the
+# levels, and slots per level
 MOST_LEVELS = 1 << 22
 LEVEL_SLOTS = 1 << 25
+LEAST_SLOTS, LEVEL_ROOM = 1 << 20, 8
 # least count of a level; classes 2 and 3 start at these levels
 RARE_BELOW = 8
 # width of a size cell, as a logarithm, and cells in a wide one
@@ -187,7 +189,8 @@ def _slot(block: np.ndarray, low: np.ndarray, slots: int) -> np.ndarray:
 
 def _level_table(frequent: DataFrame, most: int, slots: int) -> np.ndarray:
     """One level per slot. If more than ``most`` shingles are frequent, only whole upper levels
-    that fit are kept: the others then count as rare, which changes no result."""
+    that fit are kept: the others then count as rare, which changes no result. The table has
+    ``LEVEL_ROOM`` slots per level, ``slots`` at most."""
     sizes = frequent.groupBy("level").count().orderBy(F.desc("level")).collect()
     total, lowest = 0, 99
     for row in sizes:
@@ -195,9 +198,10 @@ def _level_table(frequent: DataFrame, most: int, slots: int) -> np.ndarray:
         if total > most:
             break
         lowest = row["level"]
-    table = np.zeros(slots, np.uint8)
     # at most ``most`` rows
     chosen = frequent.filter(F.col("level") >= lowest).select("block", "low", "level").toArrow()
+    slots = min(slots, max(LEAST_SLOTS, 1 << (LEVEL_ROOM * len(chosen)).bit_length()))
+    table = np.zeros(slots, np.uint8)
     block, low, level = (c.to_numpy() for c in chosen.columns)
     np.maximum.at(table, _slot(block, low, slots), level.astype(np.uint8))
     return table
@@ -794,6 +798,27 @@ def jaccard_classes(
     def component(end: str):
         return components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
 
+    def merged(more: DataFrame) -> DataFrame:
+        """The components with further links, which join whole components. The old ones go."""
+        between = more.join(component("a"), "a", "left").join(component("b"), "b", "left")
+        joined = written(
+            connected_components(
+                between.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+            ),
+            "joined",
+        )
+        known = components.join(
+            joined.select(F.col("node").alias("component"), F.col("component").alias("to")),
+            "component", "left",
+        )
+        new = joined.join(components.select("node"), "node", "left_anti")
+        found = written(
+            known.select("node", F.coalesce("to", "component").alias("component")).unionByName(new),
+            "components",
+        )
+        scratch.drop(components, joined)
+        return found
+
     untried = written(
         stars.join(least, ["a", "b"], "left_anti")
         .join(component("a"), "a", "left")
@@ -803,11 +828,11 @@ def jaccard_classes(
         "untried",
     )
     scratch.drop(stars, least)
-    others = verified(untried)
-    links = links.union(others)
-    if not others.isEmpty():
-        scratch.drop(components)
-        components = written(connected_components(links), "components")
+    scratch.drop(links)
+    if not untried.isEmpty():
+        others = verified(untried)
+        components = merged(others)
+        scratch.drop(others)
     scratch.drop(untried)
 
     def apart(sets: DataFrame) -> DataFrame:
@@ -838,6 +863,9 @@ def jaccard_classes(
         scratch.drop(rest)
         few.append(facing.filter(F.col("sets") <= PAIRED).select("sig", "node", "size"))
         many = facing.filter(F.col("sets") > PAIRED)
+        if many.isEmpty():
+            rest = None
+            break
         spokes = written(
             many.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "spokes"
         )
@@ -850,17 +878,17 @@ def jaccard_classes(
         more = written(linked.union(_verified(pairs, sets, num, den)), "links")
         scratch.drop(near, sets, pairs)
         if not more.isEmpty():
-            links = links.union(more)
-            scratch.drop(components)
-            components = written(connected_components(links), "components")
+            components = merged(more)
+        scratch.drop(more)
         core = around.filter("core").select(F.col("a").alias("centre"), F.col("b").alias("node"))
         far = many.join(core, ["centre", "node"], "left_anti").select("sig", "node", "size")
         rest = apart(far)
         scratch.drop(spokes, around)
         if rest.isEmpty():
             break
-    for part in few:
-        far = rest.select("sig", "node", "size").union(part) if part is few[0] else far.union(part)
+    far = few[0] if rest is None else rest.select("sig", "node", "size").union(few[0])
+    for part in few[1:]:
+        far = far.union(part)
     rest = apart(far)
     left, right = (
         rest.select(
@@ -875,12 +903,14 @@ def jaccard_classes(
         .select("a", "b")
         .distinct()
     )
-    pairs = written(pairs, "pairs")
-    more = verified(pairs)
-    if not more.isEmpty():
-        scratch.drop(components)
-        components = written(connected_components(links.union(more)), "components")
-    scratch.drop(rest, pairs)
+    if not rest.isEmpty():
+        pairs = written(pairs, "pairs")
+        more = verified(pairs)
+        components = merged(more)
+        scratch.drop(pairs, more)
+    scratch.drop(rest)
+    # the table is read by no plan any more
+    table.destroy()
 
     named = classes.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node")

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import LOWER, bounded_batches, slices
-from lexmill.session import written
+from lexmill.llm.byte_words import LOWER, slices
+from lexmill.session import bounded_batches, written
 
 UNKNOWN = "und"
 FULL_BYTES = 64

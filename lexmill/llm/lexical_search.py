@@ -42,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import PUNCTUATED, bounded_batches, words_of
+from lexmill.llm.byte_words import PUNCTUATED, words_of
 from lexmill.llm.ranked import Best
-from lexmill.session import new_folder, numbered, spread, task_count, written
+from lexmill.session import bounded_batches, new_folder, numbered, spread, task_count, written
 
 ITEM_BLOCK = 4096
 BLOCK_DOCS = 1024

@@ -43,8 +43,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from lexmill.llm.byte_words import bounded_batches, text_bytes, words_of
-from lexmill.session import spread, written
+from lexmill.llm.byte_words import text_bytes, words_of
+from lexmill.session import bounded_batches, spread, written
 
 CAPACITY = 2048
 END = 0

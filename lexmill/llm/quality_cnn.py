@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.byte_words import bounded_batches, text_bytes
-from lexmill.session import written
+from lexmill.llm.byte_words import text_bytes
+from lexmill.session import bounded_batches, written
 
 SAMPLE_ROWS = 4096
 

@@ -175,3 +175,12 @@ def test_components_of_paths_and_stars(spark):
     star = [(100, k) for k in range(101, 140)] + [(500, 500)]
     got = connected_components(spark.createDataFrame(path + star, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(41)] + [(i, 100) for i in range(100, 140)]
+
+
+def test_level_table_follows_its_levels(spark):
+    rows = [(i % 4, i, 1 + i % 3) for i in range(1000)]
+    frequent = spark.createDataFrame(rows, "block int, low long, level int")
+    table = jaccard_join._level_table(frequent, jaccard_join.MOST_LEVELS, jaccard_join.LEVEL_SLOTS)
+    assert len(table) == jaccard_join.LEAST_SLOTS
+    block, low, level = (np.array(c) for c in zip(*rows, strict=True))
+    assert (table[jaccard_join._slot(block, low, len(table))] >= level).all()
