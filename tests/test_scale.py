@@ -2,10 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lexmill.functions.grams import CharGrams, Words
 from lexmill.functions.ngrams import char_ngrams, word_ngrams
-from lexmill.operators import svm
+from lexmill.operators import svm, tfidf
 from lexmill.session import dealt
 
 
@@ -61,3 +62,20 @@ def test_rows_are_dealt_by_count(spark):
     rows = spark.range(0, 500_000, numPartitions=8).withColumnRenamed("id", "n")
     parts = dealt(rows, "n").rdd.glom().map(len).collect()
     assert sum(parts) == 500_000 and max(parts) <= 100_000
+
+
+def test_workers_get_few_documents_at_once(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["rows"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.range(0, 3000, 1, 8).select(F.lit("a text").alias("text")).coalesce(1)
+        tokens = tfidf._tokenized(docs, [], "text").coalesce(1)
+        rows = [r["rows"] for r in tokens.mapInArrow(sizes, "rows long").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(rows) == 3000 and max(rows) <= 1000
