@@ -79,3 +79,21 @@ def test_workers_get_few_documents_at_once(spark):
     finally:
         spark.conf.set(name, before)
     assert sum(rows) == 3000 and max(rows) <= 1000
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["rows"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64m")
+    try:
+        # a row of 4 MB: its words and its pieces
+        text = F.expr("repeat('word ', 400000)").alias("text")
+        tokens = tfidf._tokenized(spark.range(0, 16, 1, 8).select(text), [], "text").coalesce(1)
+        rows = [r["rows"] for r in tokens.mapInArrow(sizes, "rows long").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(rows) == 16 and max(rows) <= 4
